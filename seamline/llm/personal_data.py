@@ -1,0 +1,372 @@
+"""Personal data: exact base patterns, and a linear-chain conditional random field over word-shape features.
+
+The base patterns give e-mail addresses, IP addresses, payment cards and phone numbers by rule. The field tags words with
+those kinds; it is trained here from ``LABELLED``, a small table, by gradient ascent on the exact likelihood, and decodes
+all chains of an Arrow slice together with Viterbi in numpy. A chain is a run of words at most ``REACH`` words away from
+one that holds a digit or an at sign. Tagged stretches that pass the kind's check and touch no base span are added;
+base spans always stay.
+
+Spans are ``(kind, start, end)`` in code points, the end exclusive.
+
+Defined cases: a null text is empty and has no spans; equal texts have equal spans; overlapping base spans of different
+kinds all stay; repeated rows stay repeated; an empty table gives an empty table; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from seamline.llm.arrow import append_columns, texts_of
+
+KINDS = ("email", "ip", "card", "phone")
+REACH = 2
+#: Rows of each kind in the labelled table: words of the kind are in braces.
+LABELLED = (
+    ("phone", "call me at {555-123-4567} today"),
+    ("phone", "phone: {(212) 555-0147} or later"),
+    ("phone", "tel {020 7946 0958} ask for them"),
+    ("phone", "my number is {(800) 555 0199}."),
+    ("phone", "fax {555.867.5309} office"),
+    ("phone", "reach us on {+44 20 7946 0018} now"),
+    ("phone", "mobile {+1-202-555-0173}, thanks"),
+    ("phone", "call {+49 (30) 901820} please"),
+    ("phone", "the line {212-555-0100} is open"),
+    ("email", "write to {jane.doe@example.com} please"),
+    ("email", "mail {bob_77@mail.example.org}, or wait"),
+    ("email", "contact <{sales@shop.example}> for more"),
+    ("email", "email: {first+tag@host-name.example.net}"),
+    ("ip", "server {192.168.10.1} is down"),
+    ("ip", "from {10.0.0.254} port open"),
+    ("ip", "host ({172.16.4.20}) answered"),
+    ("ip", "address {203.0.113.77}."),
+    ("card", "card {4111 1111 1111 1111} was charged"),
+    ("card", "paid with {5500-0000-0000-0004} yesterday"),
+    ("card", "card: {4012888888881881}."),
+    ("card", "visa {4222 2222 2222 2} expired"),
+    ("card", "number {3782 822463 10005} amex"),
+)
+#: Rows of the labelled table with nothing to find.
+CLEAN = (
+    "in 1999 the town had 12 shops", "page 3 of 250 was torn", "version 1.2.3 came out in 2004", "they sold 1,200,000 units in 12 days",
+    "the score was 3-2 after 90 minutes", "on 2021-04-05 at 10:30 it rained", "from 1914-1918 and 1939-1945", "see section 4.2.1 and table 7",
+    "a b 1 2 3 4 5 6", "follow @someone or @other today", "costs $4.99 or 5.50 each", "order 1048576 has 16 parts", "chapter 12 verse 3",
+    "id 804490 and 991204 were lost", "x1 y2 z3 q4", "ratio 3.14159 or 2.71828", "row 1 | 22 | 333 | 4444", "in room 101, floor 2", "meet @ noon", "number 5 is alive",
+    "code 12345678901234567890 is long", "tel aviv has 3 ports", "call 3 people", "card 12 of 52", "10 20 30 40 50 60 70", "2019 2020 2021 2022",
+)
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
+# A match can only begin where a run of digits begins: the pattern reads whole runs.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_NOT_DIGIT = re.compile(r"[^0-9]+")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses in linear time: each begins where the run before its at sign does."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            free = found.end()
+            yield start, free
+        at = text.find("@", max(at + 1, free))
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans of the base patterns by kind, then start."""
+    out = [("email", a, b) for a, b in _emails(text)]
+    for m in _IP.finditer(text):
+        if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m.group().split(".")):
+            out.append(("ip", *m.span()))
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 13:
+            digits = m.group().replace(" ", "").replace("-", "")
+            if 13 <= len(digits) <= 19 and luhn(digits):
+                out.append(("card", *m.span()))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 9 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
+                out.append(("phone", *m.span()))
+    return out
+
+
+# ---- word shapes
+
+_FLAGS = np.zeros(256, dtype=np.uint8)
+for _b in range(256):
+    _c = chr(_b)
+    _FLAGS[_b] = (
+        0 if _b <= 32 else 1 if _c in "0123456789" else 2 if _b >= 128 or _c.isalpha() else 4 if _c == "@" else 8 if _c == "." else 16 if _c == "-" else 32 if _c == "+" else 64 if _c in "()" else 128
+    )
+_COUNTS = np.array([0, 1, 1, 2, 3, 4, 4, 5, 5, 5, 6, 6, 6] + [7] * 7 + [8], dtype=np.int64)
+_CUES = 256
+#: Feature blocks: shape; flags and digits of this, the previous and the next word; the previous two words.
+_SIZES = (256 * 9, 256, 9, 256, 9, 256, 9, _CUES, _CUES)
+_BASES = np.concatenate([[0], np.cumsum(_SIZES)])
+_KEYS = np.random.default_rng(9).integers(1, 1 << 62, (32, 256), dtype=np.uint64) | np.uint64(1)
+
+
+class Words:
+    """Blank-separated words of many texts: byte spans, owners, shape parts."""
+
+    def __init__(self, raw: list[bytes]):
+        self.data = data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        self.bases = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]).astype(np.int64)
+        solid = np.concatenate([[False], data > 32, [False]])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.owner = np.searchsorted(self.bases, self.starts, side="right") - 1
+        if not len(self.starts):
+            self.flags = self.digits = np.zeros(0, dtype=np.int64)
+            return
+        flags = _FLAGS[data]
+        self.flags = np.bitwise_or.reduceat(flags, self.starts).astype(np.int64)  # blanks between words add nothing
+        self.digits = _COUNTS[np.minimum(np.add.reduceat((flags == 1).astype(np.int32), self.starts), 20)]
+
+    def cue(self, which: np.ndarray) -> np.ndarray:
+        """Hash buckets of words, from 1; letters alone count, at most the first 32 bytes."""
+        out = np.zeros(len(which), dtype=np.int64)
+        for k, w in enumerate(which):
+            if w >= 0:
+                part = self.data[self.starts[w] : min(self.ends[w], self.starts[w] + 32)]
+                part = part[_FLAGS[part] == 2] | 32
+                out[k] = 1 + int(_KEYS[np.arange(len(part)), part].sum() >> np.uint64(17)) % (_CUES - 1) if len(part) else 0
+        return out
+
+    def chains(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words near one with a digit or an at sign, and where each chain of them begins."""
+        near = np.flatnonzero((self.flags & 5) > 0)
+        n = len(self.starts)
+        active = np.zeros(n, dtype=bool)
+        for d in range(-REACH, REACH + 1):
+            k = near + d
+            ok = (k >= 0) & (k < n)
+            ok[ok] &= self.owner[k[ok]] == self.owner[near[ok]]
+            active[k[ok]] = True
+        words = np.flatnonzero(active)
+        if not len(words):
+            return words, words
+        new = np.concatenate([[True], (np.diff(words) != 1) | (np.diff(self.owner[words]) != 0)])
+        return words, np.flatnonzero(new)
+
+    def features(self, words: np.ndarray) -> np.ndarray:
+        """Feature numbers, one column for each block; -1 past a text's ends."""
+        n = len(self.starts)
+
+        def beside(d: int) -> np.ndarray:
+            k = words + d
+            ok = (k >= 0) & (k < n)
+            ok[ok] &= self.owner[k[ok]] == self.owner[words[ok]]
+            return np.where(ok, k, -1)
+
+        prev, nxt = beside(-1), beside(1)
+        near = lambda values, k: np.where(k >= 0, values[k], -1)
+        parts = [self.flags[words] * 9 + self.digits[words], self.flags[words], self.digits[words], near(self.flags, prev), near(self.digits, prev), near(self.flags, nxt), near(self.digits, nxt), self.cue(prev), self.cue(beside(-2))]
+        return np.stack([np.where(p >= 0, p + base, -1) for p, base in zip(parts, _BASES[:-1], strict=True)], axis=1)
+
+
+# ---- the field
+
+STATES = 1 + len(KINDS)
+
+
+def _emissions(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    return np.where(features[:, :, None] >= 0, weights[features], 0).sum(1)
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
+
+
+def train_field(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.5, decay: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and transition weights by AdaGrad on the likelihood; ``chains`` are ``(features, states)``."""
+    weights, moves = np.zeros((_BASES[-1], STATES)), np.zeros((STATES, STATES))
+    seen_w, seen_m = np.full_like(weights, 1e-3), np.full_like(moves, 1e-3)
+    for _ in range(rounds):
+        grad_w, grad_m = -decay * weights, -decay * moves
+        for features, states in chains:
+            e = _emissions(weights, features)
+            n = len(e)
+            forward, backward = e.copy(), np.zeros_like(e)
+            for t in range(1, n):
+                forward[t] += _log_sum(forward[t - 1][:, None] + moves, 0)
+            for t in range(n - 2, -1, -1):
+                backward[t] = _log_sum(moves + (e[t + 1] + backward[t + 1])[None], 1)
+            total = _log_sum(forward[-1], 0)
+            gap = -np.exp(forward + backward - total)
+            gap[np.arange(n), states] += 1
+            for column in features.T:
+                ok = column >= 0
+                np.add.at(grad_w, column[ok], gap[ok])
+            for t in range(1, n):
+                grad_m -= np.exp(forward[t - 1][:, None] + moves + (e[t] + backward[t])[None] - total)
+                grad_m[states[t - 1], states[t]] += 1
+        seen_w += grad_w**2
+        seen_m += grad_m**2
+        weights += rate * grad_w / np.sqrt(seen_w)
+        moves += rate * grad_m / np.sqrt(seen_m)
+    return weights, moves
+
+
+def viterbi(e: np.ndarray, firsts: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Best states of many chains at once; chain ``i`` is ``e[firsts[i]:firsts[i + 1]]``, the last one ends with ``e``."""
+    length = np.diff(np.append(firsts, len(e)))
+    order = np.argsort(-length, kind="stable")
+    firsts, length = firsts[order], length[order]
+    best, states = e.copy(), np.zeros(len(e), dtype=np.int64)
+    back = np.zeros(e.shape, dtype=np.int8)
+    longest = int(length[0]) if len(length) else 0
+    live = [int(np.searchsorted(-length, -t, side="left")) for t in range(longest)]  # chains longer than t
+    for t in range(1, longest):
+        at = firsts[: live[t]] + t
+        step = best[at - 1][:, :, None] + moves[None]
+        back[at] = step.argmax(1)
+        best[at] += step.max(1)
+    for t in range(longest - 1, -1, -1):
+        at = firsts[: live[t]] + t
+        ended = length[: live[t]] == t + 1
+        states[at[ended]] = best[at[ended]].argmax(1)
+        on = at[~ended]
+        states[on] = back[on + 1, states[on + 1]]
+    return states
+
+
+@lru_cache(maxsize=1)
+def trained_field() -> tuple[np.ndarray, np.ndarray]:
+    """Weights from the labelled table."""
+    chains = []
+    for kind, row in [*LABELLED, *(("", c) for c in CLEAN)]:
+        a, b = (row.index("{"), row.index("}") - 1) if kind else (0, 0)
+        words = Words([row.replace("{", "").replace("}", "").encode()])
+        which, firsts = words.chains()
+        inside = (words.starts < b) & (words.ends > a)
+        states = np.where(inside, 1 + KINDS.index(kind), 0) if kind else np.zeros(len(inside), dtype=np.int64)
+        features = words.features(which)
+        for x, y in zip(firsts, [*firsts[1:], len(which)], strict=True):
+            chains.append((features[x:y], states[which[x:y]]))
+    return train_field(chains)
+
+
+#: What a tagged stretch must look like, once its edges are trimmed, for its kind to be believed.
+_SHAPED = {
+    "email": re.compile(r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}"),
+    "ip": re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
+    "card": re.compile(r"[0-9](?:[ .\-]{0,2}[0-9]){12,18}"),
+    "phone": re.compile(r"\+?(?:\([0-9]{2,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]{1,2}[0-9]{2,4}){1,4}"),
+}
+
+
+def _believed(kind: str, found: str) -> bool:
+    if not _SHAPED[kind].fullmatch(found):
+        return False
+    digits = _NOT_DIGIT.sub("", found)
+    if kind == "ip":
+        return all(int(p) < 256 for p in found.split("."))
+    if kind == "card":
+        return luhn(digits)
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def tagged_spans(texts: list[str], field: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[str, int, int]]]:
+    """Spans that the field tags in each text, checked by kind."""
+    raw = [t.encode() for t in texts]
+    words = Words(raw)
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    which, firsts = words.chains()
+    if not len(which):
+        return out
+    states = viterbi(_emissions(field[0], words.features(which)), firsts, field[1])
+    heads = np.zeros(len(which), dtype=bool)
+    heads[firsts] = True
+    heads[1:] |= states[1:] != states[:-1]
+    begins = np.flatnonzero(heads)
+    for x, y in zip(begins, [*begins[1:], len(which)], strict=True):
+        if states[x]:
+            i, kind = int(words.owner[which[x]]), KINDS[states[x] - 1]
+            a, b = int(words.starts[which[x]] - words.bases[i]), int(words.ends[which[y - 1]] - words.bases[i])
+            found = raw[i][a:b].decode()
+            core = found.strip(".,;:!?<>[]{}\"'")
+            if core.startswith("(") and ")" not in core or core.endswith(")") and "(" not in core:
+                core = core.strip("()")
+            if core and _believed(kind, core):
+                start = len(raw[i][:a].decode()) + found.index(core)
+                out[i].append((kind, start, start + len(core)))
+    return out
+
+
+def all_spans(texts: list[str], field: tuple[np.ndarray, np.ndarray]) -> list[tuple[list, list]]:
+    """For each text its base spans, and those with the field's additions, both by kind and start."""
+    out = []
+    for text, extra in zip(texts, tagged_spans(texts, field), strict=True):
+        base = base_spans(text)
+        added = [s for s in extra if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+        out.append((base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
+    return out
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with each stretch of spans replaced by the name of its first span's kind."""
+    out, done = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= done:
+            out += [text[done:a], f"<{kind.upper()}>"]
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
+def _written(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+FOUND = T.StructType(
+    [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
+    + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())]
+)
+
+
+def find_personal_data(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` columns plus counts of base spans by kind, their digest, and all spans. See the module docstring."""
+    field = trained_field()
+
+    def make(part) -> list:
+        found = all_spans(texts_of(part, text_col), field)
+        counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in KINDS]
+        return [*counts, [hashlib.sha256(_written(b).encode()).hexdigest() for b, _ in found], [_written(a) for _, a in found], [len(a) - len(b) for b, a in found]]
+
+    return append_columns(df, keep, text_col, FOUND, make, limit=1 << 20)
+
+
+MASKED = T.StructType([T.StructField("masked_text", T.StringType())])
+
+
+def mask_personal_data(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` columns plus masked_text: the text with every span replaced by its kind; null stays null."""
+    field = trained_field()
+
+    def make(part) -> list:
+        texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+        found = all_spans([t or "" for t in texts], field)
+        return [[None if t is None else masked(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]]
+
+    return append_columns(df, keep, text_col, MASKED, make, limit=1 << 20)
