@@ -85,3 +85,14 @@ def segment_sums(rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if full.any():
         out[full] = np.add.reduceat(rows, offsets[:-1][full], axis=0)
     return out
+
+
+def rewrite_batches(df: DataFrame, text_col: str, change: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
+    """``df`` with ``change`` applied slice by slice; it returns rows of the same schema."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, text_col, limit):
+                yield change(part)
+
+    return df.mapInArrow(run, df.schema)

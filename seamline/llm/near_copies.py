@@ -207,3 +207,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     least = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "components")
     by_fp = written(named.join(least, "label").select("fp", "component_id"), "by-fingerprint")
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``df`` with one row of each component, the one with the smallest id; of repeated ids one row stays.
+
+    Rows without an id stay, as no component can name them.
+    """
+    found = written(near_copies(df.select(id_col, text_col), id_col, text_col, words_per_shingle, radius), "near-copies")
+    key = F.col(quoted(id_col))
+    gone = found.where(key != F.col("component_id")).select(id_col).distinct()
+    kept = df.join(written(gone, "gone"), id_col, "left_anti").select(*df.columns)
+    twice = found.where(key == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
+    twice = written(twice, "twice")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, id_col, "left_anti").select(*df.columns).unionByName(kept.join(twice, id_col, "left_semi").select(*df.columns).dropDuplicates([id_col]))

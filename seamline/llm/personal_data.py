@@ -20,10 +20,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from seamline.llm.arrow import append_columns, texts_of
+from seamline.llm.arrow import append_columns, rewrite_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 2
@@ -357,16 +358,15 @@ def find_personal_data(df: DataFrame, keep: list[str], text_col: str = "text") -
     return append_columns(df, keep, text_col, FOUND, make, limit=1 << 20)
 
 
-MASKED = T.StructType([T.StructField("masked_text", T.StringType())])
-
-
-def mask_personal_data(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus masked_text: the text with every span replaced by its kind; null stays null."""
+def with_masked_text(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with every span of the text replaced by its kind; null stays null, other columns stay."""
     field = trained_field()
 
-    def make(part) -> list:
-        texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+    def change(part: pa.RecordBatch) -> pa.RecordBatch:
+        at = part.schema.get_field_index(text_col)
+        texts = part.column(at).to_pylist()
         found = all_spans([t or "" for t in texts], field)
-        return [[None if t is None else masked(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]]
+        new = [None if t is None else masked(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]
+        return part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
-    return append_columns(df, keep, text_col, MASKED, make, limit=1 << 20)
+    return rewrite_batches(df, text_col, change, limit=1 << 20)

@@ -18,11 +18,12 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamline.llm.arrow import append_columns, texts_of
+from seamline.llm.arrow import append_columns, rewrite_batches, texts_of
 from seamline.llm.sampling import crc_of, fitting_rows
 from seamline.llm.tokens import SHAPES, class_runs, pooled_means
 
@@ -138,3 +139,14 @@ def score_quality(df: DataFrame, model: Model | None, keep: list[str], text_col:
         return [scores, [int(s >= threshold) for s in scores]]
 
     return append_columns(df, keep, text_col, SCORED, make, limit=1 << 20)
+
+
+def keep_good(df: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df``, all columns, whose score reaches the threshold; without a model every row."""
+    if model is None:
+        return df
+
+    def change(part):
+        return part.filter(pa.array(model.scores(texts_of(part, text_col)) >= threshold))
+
+    return rewrite_batches(df, text_col, change, limit=1 << 20)
