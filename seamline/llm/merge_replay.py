@@ -25,7 +25,9 @@ from seamline.llm.arrow import append_columns, texts_of
 from seamline.llm.vocabularies import load_ranks, public_path, split_pattern
 
 #: Encoded words that a worker remembers, and the longest word worth remembering.
-MEMORY_WORDS, MEMORY_CHARS = 400_000, 64
+MEMORY_WORDS, MEMORY_CHARS = 1_000_000, 64
+#: Ids are smaller than two to this power.
+PAIR_BITS = 17
 
 
 class Replay:
@@ -35,56 +37,50 @@ class Replay:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.bytes = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
+        #: Rank of the token that a pair of tokens makes, for every pair that makes one.
+        self.pairs: dict[int, int] = {}
+        for whole, rank in ranks.items():
+            for cut in range(1, len(whole)):
+                left, right = ranks.get(whole[:cut]), ranks.get(whole[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << PAIR_BITS | right] = rank
         self.memory: dict[str, bytes] = {}
 
-    def pair_rank(self, pair: tuple[int, int]) -> int | None:
-        """Rank of the token that the pair makes; None if there is no such token."""
-        try:
-            return self.pairs[pair]
-        except KeyError:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[pair] = self.ranks.get(self.tokens[pair[0]] + self.tokens[pair[1]])
-            return found
-
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, by replaying the merges over all words together."""
         token: list[int] = []
         after: list[int] = []
         before: list[int] = []
         starts = []
-        table, rank_of = self.bytes, self.pair_rank
-        index: dict[tuple[int, int], list[int]] = {}
+        table, rank_of, bits = self.bytes, self.pairs.get, PAIR_BITS
         for word in words:
-            base = len(token)
+            base, n = len(token), len(word)
             starts.append(base)
-            token.extend([table[b] for b in word])
-            n = len(word)
-            after.extend(range(base + 1, base + n))
-            before.extend(range(base - 1, base + n - 1))
             if n:
+                token += [table[b] for b in word]
+                after += range(base + 1, base + n)
                 after.append(-1)
-                before[base] = -1
+                before.append(-1)
+                before += range(base, base + n - 1)
+        # Places of the pairs that make the token of a rank; pairs that make the same token are merged left to right alike.
+        index: dict[int, list[int]] = {}
         for i, k in enumerate(after):
             if k >= 0:
-                pair = (token[i], token[k])
-                if pair in index:
-                    index[pair].append(i)
-                elif rank_of(pair) is not None:
-                    index[pair] = [i]
-        heap = [(rank_of(p), p) for p in index]
+                r = rank_of(token[i] << bits | token[k])
+                if r is not None:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+        heap = list(index)
         heapq.heapify(heap)
         while heap:
-            rank, pair = heapq.heappop(heap)
-            places = index.pop(pair, None)
-            if places is None:
-                continue
-            left, right = pair
+            rank = heapq.heappop(heap)
+            places = index.pop(rank)
             places.sort()
             for i in places:
                 k = after[i]
-                if k < 0 or token[i] != left or token[k] != right:
+                if k < 0 or rank_of(token[i] << bits | token[k]) != rank:
                     continue
                 token[i] = rank
                 token[k] = -1
@@ -92,20 +88,22 @@ class Replay:
                 after[k] = -1
                 if nxt >= 0:
                     before[nxt] = i
-                    new = (rank, token[nxt])
-                    if new in index:
-                        index[new].append(i)
-                    elif (r := rank_of(new)) is not None:
-                        index[new] = [i]
-                        heapq.heappush(heap, (r, new))
+                    r = rank_of(rank << bits | token[nxt])
+                    if r is not None:
+                        if r in index:
+                            index[r].append(i)
+                        else:
+                            index[r] = [i]
+                            heapq.heappush(heap, r)
                 prev = before[i]
                 if prev >= 0:
-                    new = (token[prev], rank)
-                    if new in index:
-                        index[new].append(prev)
-                    elif (r := rank_of(new)) is not None:
-                        index[new] = [prev]
-                        heapq.heappush(heap, (r, new))
+                    r = rank_of(token[prev] << bits | rank)
+                    if r is not None:
+                        if r in index:
+                            index[r].append(prev)
+                        else:
+                            index[r] = [prev]
+                            heapq.heappush(heap, r)
         out = []
         for start, word in zip(starts, words, strict=True):
             ids = []
@@ -124,12 +122,14 @@ class Replay:
         fresh = [w for w in distinct if w not in known]
         if len(known) + len(fresh) > MEMORY_WORDS:
             # Words of this slice stay at hand; older ones are encoded again when they come back.
-            known = self.memory = {w: known[w] for w in distinct if w in known} if len(distinct) < MEMORY_WORDS else {}
+            known = self.memory = {w: known[w] for w in distinct if w in known}
             fresh = [w for w in distinct if w not in known]
-        made = {w: array("I", ids).tobytes() for w, ids in zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True)}
-        if len(fresh) <= MEMORY_WORDS:
-            known.update((w, b) for w, b in made.items() if len(w) <= MEMORY_CHARS)
-        return [b"".join([known[w] if w in known else made[w] for w in words]) for words in split]
+        known.update((w, array("I", ids).tobytes()) for w, ids in zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > MEMORY_CHARS:
+                del known[w]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of ids given as little-endian unsigned 32-bit integers."""
