@@ -1,0 +1,233 @@
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+import tiktoken  # noqa: F401
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from seamline.llm import archives, language, merge_replay, mixing, near_copies, personal_data, quality, queries, token_counts, transport_stream, tree_search
+from seamline.llm.vocabularies import load_encoding, load_ranks, public_path, split_pattern
+
+SMALL = "/root/testdata/sf0.001"
+ODD = [None, "", " ", "a" * 3000, "plain words here", "plain words here", "é 日本 😀 <|endoftext|> x", "\n\t  \r\n", "one two"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, None if i % 2 else "src", "en", 7, "clash", "clash") for i, t in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, score string, id string")
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return pd.read_parquet(f"{SMALL}/documents.parquet")
+
+
+def test_token_counts(spark, odd, documents):
+    t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    texts = ODD + documents.text.tolist()
+    want = [len(e.ids) for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    got = {r.doc_id: r for r in token_counts.count_tokens(odd, ["doc_id"]).collect()}
+    assert [got[i].n_tokens for i in range(len(ODD))] == want[: len(ODD)]
+    got = {r.doc_id: r for r in queries.op1_token_counts(spark, SMALL).collect()}
+    assert [got[i].n_tokens for i in documents.doc_id] == want[len(ODD) :]
+
+
+def test_safe_pieces():
+    text = "word another 12 " * 9000
+    pieces = list(token_counts.safe_pieces(text))
+    assert len(pieces) > 1 and "".join(pieces) == text
+
+
+def test_transport_stream(odd):
+    for r in transport_stream.media_columns(odd, ["doc_id"]).collect():
+        payload = transport_stream.padded((ODD[r.doc_id] or "").encode())
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
+        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.payload_bytes % 192 == 0
+    data = np.random.default_rng(1).bytes(192 * 2000)
+    parsed = transport_stream.read_stream(transport_stream.write_stream(data))
+    assert parsed.payload == data and parsed.breaks == 0 and parsed.units[1][:2] == (transport_stream.TICKS, True)
+    stream = transport_stream.write_stream(data)
+    assert transport_stream.read_stream(stream[: 188 * 5] + stream[188 * 6 :]).breaks == 1
+    with pytest.raises(ValueError):
+        transport_stream.read_stream(stream[:-1])
+
+
+def test_merge_replay(spark, odd, documents):
+    e = load_encoding(public_path("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    for r in merge_replay.encode_documents(odd, ["doc_id"]).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == e.encode_ordinary(ODD[r.doc_id] or "") and bytes(r.decoded) == (ODD[r.doc_id] or "").encode()
+    got = {r.doc_id: r.ids_sha256 for r in queries.op4_byte_bpe(spark, SMALL).collect()}
+    for i, t in zip(documents.doc_id, documents.text):
+        assert got[i] == hashlib.sha256(np.array(e.encode_ordinary(t), dtype="<u4").tobytes()).hexdigest()
+
+
+def test_merge_replay_on_runs():
+    replay = merge_replay.Replay(load_ranks(public_path("byte_bpe_multi_50k.tiktoken")))
+    e = load_encoding(public_path("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aab=-"), n)) for n in rng.integers(1, 200, 300)]
+    got = replay.encode_texts(words, merge_replay.load_splitter(split_pattern()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.encode_ordinary(w) for w in words]
+
+
+def test_quality(spark, odd):
+    r = queries.op3_quality_classifier(spark, "/root/testdata/sf0.01").toPandas()
+    m = r.merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
+    m = m[m.held_out]
+    assert ((m.score >= 0.7) == (m.quality == 1)).mean() > 0.85 and r.score.between(0, 1).all()
+    model = quality.fit([(i, ["good words here", "BAD!! BAD!!"][i % 2], 1 - i % 2) for i in range(40)])
+    scored = {x.doc_id: x.score for x in quality.score_quality(odd, model, ["doc_id"]).collect()}
+    assert len(scored) == len(ODD) and scored[4] == scored[5]
+    assert {x.score for x in quality.score_quality(odd, None, ["doc_id"]).collect()} == {0.5}
+
+
+def test_language(spark, odd):
+    r = queries.op5_language_id(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet"), on="doc_id")
+    assert (r.lang_pred == r.lang)[r.held_out].mean() > 0.97
+    model = language.fit([(i, ["the and of", "der und das"][i % 2], ["en", "de"][i % 2]) for i in range(40)])
+    got = {x.doc_id: x for x in language.predict_language(odd, model, ["doc_id"]).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 2, 7)] == ["und"] * 4 and got[4].lang_pred in ("en", "de")
+    assert {x.lang_pred for x in language.predict_language(odd, language.fit([]), ["doc_id"]).collect()} == {"und"}
+
+
+def brute_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) < 256 for x in m.group().split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and personal_data.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+
+
+def test_personal_data(spark, odd, documents):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("a.@-+1 20()é5"), n)) for n in rng.integers(0, 60, 2000)] + documents.text.tolist()
+    assert all(personal_data.base_spans(t) == brute_spans(t) for t in texts)
+    field = personal_data.trained_field()
+    assert personal_data.all_spans(["my number is (415) 555-2671 thanks"], field) == [([], [("phone", 13, 27)])]
+    assert personal_data.all_spans(["in 1999 there were 300 of 12000"], field) == [([], [])]
+    assert personal_data.masked("to a@b.cc, 1.2.3.4", personal_data.base_spans("to a@b.cc, 1.2.3.4")) == "to <EMAIL>, <IP>"
+    assert personal_data.find_personal_data(odd, ["doc_id"]).count() == len(ODD)
+    got = queries.op6_personal_data(spark, SMALL).toPandas().set_index("doc_id")
+    for i, t in zip(documents.doc_id, documents.text):
+        assert got.base_sha256[i] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(t)).encode()).hexdigest()
+
+
+def test_viterbi_against_enumeration():
+    rng = np.random.default_rng(5)
+    e, moves = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+    got = personal_data.viterbi(e, np.array([0, 4, 5]), moves)
+    for a, b in ((0, 4), (4, 5), (5, 9)):
+        paths = np.stack(np.meshgrid(*[range(3)] * (b - a), indexing="ij"), -1).reshape(-1, b - a)
+        worth = [e[np.arange(a, b), p].sum() + sum(moves[x, y] for x, y in zip(p, p[1:])) for p in paths]
+        assert got[a:b].tolist() == paths[int(np.argmax(worth))].tolist()
+
+
+def test_archives(spark):
+    rows = [(5, "http://a/ b", "same"), (3, None, "same"), (3, "u", "same"), (9, "v", None), (None, "w", ""), (1, "x", "é\r\n\r\nWARC/1.1"), (7, "y", "same")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, id string").repartition(2)
+    got = sorted((r.id is None, r.id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in archives.round_trip(df, "page_id", "url", "html").collect())
+    assert got == [(False, 1, "response", None, 14), (False, 3, "response", None, 4), (False, 3, "response", None, 4), (False, 5, "revisit", 3, 4), (False, 7, "revisit", 3, 4), (False, 9, "response", None, 0), (True, 0, "revisit", 9, 0)]
+    assert {r.record_type for r in archives.round_trip(df, "page_id", "url", "html", least=100).collect()} == {"response"}
+    assert archives.round_trip(df.limit(0), "page_id", "url", "html").count() == 0
+    for version in (1, 2):
+        packed = archives.pack_arc("x.arc", version, [(1, "http://h/", b"ab\n"), (2, "u", b"")])
+        assert [b for _, b in archives.parse_arc(packed)] == [b"ab\n", b""]
+        with pytest.raises(ValueError):
+            list(archives.parse_arc(packed[:-2]))
+
+
+def test_mixing(spark, odd):
+    got = mixing.mixed(odd, columns=["doc_id", "score"]).select("doc_id", "score", "_mix.*").toPandas()
+    assert len(got) == len(ODD) and got.probability.between(0, 1).all()
+    assert mixing.mixed(odd.limit(0)).count() == 0
+    r = queries.op8_source_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    assert abs((r.probability * r.tokens).sum() / r.tokens.sum() - mixing.KEEP_SHARE) < 1e-3
+    raked = (r.ratio * r.tokens).groupby(r.topic).sum()
+    share = r.tokens.groupby(r.topic).sum() ** mixing.POWERS["topic"]
+    own = (r.tokens.groupby(r.topic).sum() / r.tokens.sum()) ** mixing.POWERS["topic"]
+    assert np.allclose(raked / raked.sum(), own / own.sum(), atol=1e-4) and len(share)
+
+
+def brute_components(fps, ids):
+    label = list(range(len(fps)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 2):
+            a, b = root(i), root(i + 1 + int(j))
+            label[max(a, b)] = min(a, b)
+    roots = pd.Series([root(i) for i in range(len(fps))])
+    return pd.Series(ids).groupby(roots.values).transform("min").tolist()
+
+
+def test_near_copies(spark, odd, documents):
+    fps = np.array([near_copies.simhash(t) for t in documents.text], dtype=np.uint64)
+    got = queries.op9_simhash_components(spark, SMALL).toPandas().set_index("doc_id")
+    assert got.component_id[documents.doc_id].tolist() == brute_components(fps, documents.doc_id.values)
+    assert got.fingerprint[documents.doc_id].tolist() == [f"{int(x):016x}" for x in fps]
+    kept = near_copies.one_of_each(odd.unionByName(odd))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 6, 8] and kept.columns == odd.columns
+    assert near_copies.near_copies(odd.limit(0)).count() == 0
+
+
+def test_bit_sliced_forest():
+    rng = np.random.default_rng(6)
+    fps = np.repeat(rng.integers(0, 1 << 63, 30, dtype=np.uint64), 12)
+    for i in range(len(fps)):
+        for b in rng.integers(0, 64, rng.integers(0, 4)):
+            fps[i] ^= np.uint64(1) << np.uint64(b)
+    for radius in (0, 1, 2, 3):
+        label = np.arange(len(fps))
+        for a, b in near_copies.forest(fps, np.zeros(len(fps), dtype=int), radius):
+            label[label == label[b]] = label[a]
+        want = np.arange(len(fps))
+        for a, b in np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None]) <= radius):
+            want[want == want[b]] = want[a]
+        assert (pd.factorize(label)[0] == pd.factorize(want)[0]).all()
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_dual_tree(spread):
+    rng = np.random.default_rng(7)
+    x = np.floor(rng.normal(size=(3000, 8)) * 20 * spread) + 3
+    ids = rng.permutation(3000)
+    best, names = tree_search.dual_tree(x[:200], ids[:200], x, ids, 20)
+    scores = x[:200] @ x.T
+    for i in range(200):
+        order = np.lexsort((ids, -scores[i]))
+        order = order[ids[order] != ids[i]][:20]
+        assert names[i].tolist() == ids[order].tolist() and best[i].tolist() == scores[i][order].tolist()
+
+
+def test_top_k_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (20, [0.5, 0.5]), (None, [1.0, 1.0]), (5, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = tree_search.top_inner_products(df, df.vec_id % 20 == 0).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 4096), (0, 2, 20, 2048), (20, 1, 0, 2048), (20, 2, 1, 2048)]
+    assert tree_search.top_inner_products(df.limit(0), df.vec_id % 20 == 0).count() == 0
+
+
+def test_pipeline(spark):
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    good = quality.score_quality(df, quality.fit_quality(df, spark.read.parquet(f"{SMALL}/labels.parquet")), ["doc_id"]).toPandas().set_index("doc_id").predicted
+    docs = docs[good[docs.doc_id].values == 1]
+    fps = np.array([near_copies.simhash(t) for t in docs.text], dtype=np.uint64)
+    docs = docs[np.array(brute_components(fps, docs.doc_id.values)) == docs.doc_id.values]
+    field = personal_data.trained_field()
+    docs["text"] = [personal_data.masked(t, personal_data.all_spans([t], field)[0][1]) for t in docs.text]
+    docs["n_chars"] = docs.text.str.len()
+    kept = mixing.mixed(spark.createDataFrame(docs)).where("_mix.kept").toPandas().doc_id
+    docs = docs[docs.doc_id.isin(kept)]
+    e = load_encoding(public_path("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    want = {i: hashlib.sha256(np.array(e.encode_ordinary(t), dtype="<u4").tobytes()).hexdigest() for i, t in zip(docs.doc_id, docs.text)}
+    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SMALL).collect()} == want and want
