@@ -25,7 +25,7 @@ from seamline.llm.arrow import append_columns, texts_of
 from seamline.llm.vocabularies import load_ranks, public_path, split_pattern
 
 #: Encoded words that a worker remembers, and the longest word worth remembering.
-MEMORY_WORDS, MEMORY_CHARS = 1_000_000, 64
+MEMORY_WORDS, MEMORY_CHARS = 600_000, 64
 #: Ids are smaller than two to this power.
 PAIR_BITS = 17
 
@@ -180,4 +180,4 @@ def encode_documents(df: DataFrame, keep: list[str], text_col: str = "text", pat
         }
         return [whole[f.name] for f in made]
 
-    return append_columns(df, keep, text_col, made, make, limit=2 << 20)
+    return append_columns(df, keep, text_col, made, make, limit=1 << 20)
