@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.functions import resolution
-from seamline.operators import blocks, byte_diff, evidence, intervals, stores
+from seamline.operators import blocks, byte_diff, evidence, intervals, recurrence, spectra, stores
 
 #: Milliseconds within which signals meet, and the length of an interval.
 NEAR, SPAN = 30 * 60 * 1000, 10 * 60 * 1000
@@ -195,6 +195,42 @@ def byte_diff_cuts(spark, sf_dir):
     return byte_diff.diff_pairs(sides, block=32)
 
 
+@_query()
+def any_offset_match(spark, sf_dir):
+    """Where runs of benchmark passages recur in documents, at any byte. The passages are the bounded side, and checked."""
+    passages = _table(spark, sf_dir, "benchmark").where("text is not null")
+    if (passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > recurrence.MOST_BLOCKS * 32:
+        raise ValueError("too many known passages for one pass")
+    known = [(r["item_id"], r["text"].encode()) for r in passages.collect()]
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
+    return recurrence.recurrences(docs, known, 32, LEAST_RUN)
+
+
+# ---- spectra
+
+_PEAKS = """f AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS total FROM embeddings),
+v AS (SELECT label, vec_id, n, total, i, embedding[i + 1] AS x, list_max(embedding[5:]) - 1::FLOAT AS low FROM (SELECT *, unnest(range(64)) AS i FROM f)),
+o AS (SELECT a.label, a.vec_id, a.i, a.x FROM v a JOIN v b ON b.label = a.label AND b.n BETWEEN a.n - 2 AND a.n + 2 AND b.i BETWEEN a.i - 3 AND a.i + 3 AND (b.n <> a.n OR b.i <> a.i)
+ WHERE a.i >= 4 AND a.x >= a.low AND a.n > 2 AND a.n <= a.total - 2 GROUP BY a.label, a.vec_id, a.i, a.x HAVING a.x > max(b.x)),
+peaks AS (SELECT label, vec_id, i AS bin FROM (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY x DESC, i) AS r FROM o) WHERE r <= 4)"""
+
+
+def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.spectral_peaks(_table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 4, 1.0, 2, 3, 4)
+
+
+@_query(f"WITH {_PEAKS} SELECT label, vec_id, bin FROM peaks")
+def spectral_peaks(spark, sf_dir):
+    return _peaks(spark, sf_dir)
+
+
+@_query(f"""WITH {_PEAKS}, p AS (SELECT a.label, a.vec_id, a.bin, b.vec_id AS f, b.bin AS b, row_number() OVER (PARTITION BY a.label, a.vec_id, a.bin ORDER BY b.vec_id, b.bin) AS r
+ FROM peaks a JOIN peaks b ON b.label = a.label AND b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 63)
+SELECT label, vec_id, (bin << 15) | (b << 6) | (f - vec_id) AS hash FROM p WHERE r <= 6""")
+def landmark_pairs(spark, sf_dir):
+    return spectra.landmark_pairs(_peaks(spark, sf_dir), "label", "vec_id", 63, 6)
+
+
 # ---- stores
 
 _STORE = "s AS (SELECT doc_id % 97 AS fp_id, quality AS provenance, doc_id AS arrival, doc_id % 2 AS incoming FROM labels WHERE quality IS NOT NULL)"
