@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seamline.llm import similar_texts
 from seamline.llm.arrow import append_columns, quoted
 from seamline.llm.components import component_labels
 from seamline.llm.storage import written
@@ -209,12 +210,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``df`` with one row of each component, the one with the smallest id; of repeated ids one row stays.
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``df`` with one row of each group of similar texts, the one with the smallest id; of repeated ids one row stays.
 
-    Rows without an id stay, as no component can name them.
+    Texts are linked where their shingles' exact Jaccard similarity is at least ``similarity``; texts without words are
+    alike. Rows without an id stay, as no component can name them.
     """
-    found = written(near_copies(df.select(id_col, text_col), id_col, text_col, words_per_shingle, radius), "near-copies")
+    marked = written(similar_texts.sketched(df, text_col, words_per_shingle), "sketched")
+    labels = similar_texts.set_labels(marked, text_col, similarity, words_per_shingle)
+    sets = marked.groupBy("_set").agg(F.min(quoted(id_col)).alias("first")).join(labels, "_set", "left")
+    named = written(sets.select("_set", "first", F.coalesce("label", "_set").alias("label")), "named")
+    least = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "components")
+    by_set = written(named.join(least, "label").select("_set", "component_id"), "by-set")
+    found = written(marked.select(F.col(quoted(id_col)).alias(id_col), "_set").join(by_set, "_set"), "near-copies")
     key = F.col(quoted(id_col))
     gone = found.where(key != F.col("component_id")).select(id_col).distinct()
     kept = df.join(written(gone, "gone"), id_col, "left_anti").select(*df.columns)

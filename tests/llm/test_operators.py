@@ -231,3 +231,31 @@ def test_pipeline(spark):
     e = load_encoding(public_path("byte_bpe_multi_50k.tiktoken"), split_pattern())
     want = {i: hashlib.sha256(np.array(e.encode_ordinary(t), dtype="<u4").tobytes()).hexdigest() for i, t in zip(docs.doc_id, docs.text)}
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SMALL).collect()} == want and want
+
+
+def brute_similar(texts, similarity=0.8):
+    """Pairs of Jaccard similarity at least ``similarity`` over five-word shingles, by comparing every two texts."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return [(i, j) for i in range(len(sets)) for j in range(i) if (len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))]
+
+
+def test_near_copies_stage_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for changes in (0, 2, 4, 6, 8, 12, 20):  # similarities to the first from 0.97 down to 0.5
+            words = list(base)
+            for at in rng.integers(0, 300, changes):
+                words[at] = "changed"
+            texts.append(" ".join(words))
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    label = list(range(len(texts)))
+    for i, j in brute_similar(texts):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    kept = corpus_pipeline.near_copies_stage(spark, spark.createDataFrame(docs), SMALL).toPandas().doc_id
+    assert sorted(kept) == sorted(set(label)) and len(set(label)) < len(texts) / 2
