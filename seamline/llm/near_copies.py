@@ -211,23 +211,18 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``df`` with one row of each group of similar texts, the one with the smallest id; of repeated ids one row stays.
+    """``df`` with one row of each group of similar texts, the one with the smallest id.
 
     Texts are linked where their shingles' exact Jaccard similarity is at least ``similarity``; texts without words are
-    alike. Rows without an id stay, as no component can name them.
+    alike. Rows are told apart, not ids: rows of one id and unlike texts belong to their own groups; of rows of one group
+    and the smallest id, the text with the smallest hash stays, once. Rows without an id stay, as no component can name them.
     """
-    marked = written(similar_texts.sketched(df, text_col, words_per_shingle), "sketched")
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    marked = written(similar_texts.sketched(numbered, text_col, words_per_shingle), "sketched")
     labels = similar_texts.set_labels(marked, text_col, similarity, words_per_shingle)
-    sets = marked.groupBy("_set").agg(F.min(quoted(id_col)).alias("first")).join(labels, "_set", "left")
-    named = written(sets.select("_set", "first", F.coalesce("label", "_set").alias("label")), "named")
-    least = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "components")
-    by_set = written(named.join(least, "label").select("_set", "component_id"), "by-set")
-    found = written(marked.select(F.col(quoted(id_col)).alias(id_col), "_set").join(by_set, "_set"), "near-copies")
     key = F.col(quoted(id_col))
-    gone = found.where(key != F.col("component_id")).select(id_col).distinct()
-    kept = df.join(written(gone, "gone"), id_col, "left_anti").select(*df.columns)
-    twice = found.where(key == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
-    twice = written(twice, "twice")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, id_col, "left_anti").select(*df.columns).unionByName(kept.join(twice, id_col, "left_semi").select(*df.columns).dropDuplicates([id_col]))
+    rows = marked.where(key.isNotNull()).select(key.alias("id"), F.xxhash64(quoted(text_col)).alias("digest"), "_row", "_set")
+    rows = rows.join(labels, "_set", "left").withColumn("label", F.coalesce("label", "_set"))
+    first = rows.groupBy("label").agg(F.min(F.struct("id", "digest", "_row")).alias("first")).select("first._row")
+    names = [F.col(quoted(n)) for n in df.columns]
+    return marked.join(written(first, "first"), "_row", "left_semi").select(*names).unionByName(marked.where(key.isNull()).select(*names))

@@ -258,4 +258,12 @@ def test_near_copies_stage_against_brute_force(spark):
         a, b = label[i], label[j]
         label = [min(a, b) if x in (a, b) else x for x in label]
     kept = corpus_pipeline.near_copies_stage(spark, spark.createDataFrame(docs), SMALL).toPandas().doc_id
-    assert sorted(kept) == sorted(set(label)) and len(set(label)) < len(texts) / 2
+    assert sorted(kept) == sorted(set(label)) and len(set(label)) < len(texts)
+
+
+def test_one_row_of_each_group_where_ids_repeat(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, a), (5, b), (2, b.upper()), (7, "alone here"), (7, "apart there"), (7, "alone here"), (None, a)]
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(2, b.upper()), (5, a), (7, "alone here"), (7, "apart there"), (None, a)]
+    assert sorted((tuple(r) for r in kept), key=repr) == sorted(want, key=repr)
