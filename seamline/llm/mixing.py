@@ -1,7 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions alone.
 
 Token weights of the cells (source, language, topic) are raked in turn to target shares of each of the three margins;
-a target is the margin's own token share to a power, scaled to sum to one. Documents are then sampled with probabilities
+a target is the margin's own token share to a power, scaled to sum to one. Rounds go on until every margin is within
+``TOLERANCE`` of its targets, relatively; where the targets contradict each other (cells that do not exist cannot take
+weight) the rounds end once the error no longer falls, and a warning states it. Documents are then sampled with probabilities
 proportional to their cell's weight per token, at most one, and calibrated so that the expected share of tokens kept is
 ``keep_share``. A document's draw is a hash of its id, so it does not depend on partitioning.
 
@@ -15,6 +17,8 @@ draw alike; a table without tokens is kept whole; an empty table gives an empty
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ MARGINS = ("source", "lang", "topic")
 #: Powers of the margins' own shares that make the targets.
 POWERS = {"source": 0.8, "lang": 0.7, "topic": 0.8}
 ROUNDS, KEEP_SHARE, CALIBRATIONS = 6, 0.8, 24
+#: Largest relative error of a margin that ends the raking; rounds in which the error must fall by a tenth, or it stalls.
+TOLERANCE, PATIENCE = 1e-8, 30
 
 
 def rule_topic(text: Column) -> Column:
@@ -49,8 +55,14 @@ def with_cells(df: DataFrame, text_col: str, source_col: str, lang_col: str, top
     )
 
 
-def raked_cells(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with w, the raked share of all tokens."""
+def margin_error(w: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest relative error of a margin of ``w`` against its targets; values without tokens have none."""
+    off = [w.groupBy(m).agg(F.sum("w").alias("s")).join(targets[m], m).where("target > 0").select(F.abs(F.col("s") / F.col("target") - 1).alias("off")) for m in MARGINS]
+    return off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("off")).first()[0] or 0.0
+
+
+def raked_cells(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with w, the raked share of all tokens: ``rounds`` at least, and on to ``tolerance``."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     w = cells.withColumn("w", F.col("tokens") / F.lit(float(max(total, 1))))
     targets = {}
@@ -58,11 +70,16 @@ def raked_cells(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int
         shares = w.groupBy(m).agg(F.sum("w").alias("s")).withColumn("s", F.when(F.col("s") > 0, F.pow("s", F.lit(powers[m]))).otherwise(0.0))
         scale = shares.agg(F.sum("s")).first()[0] or 1.0
         targets[m] = written(shares.select(m, (F.col("s") / F.lit(scale)).alias("target")), f"target-{m}")
-    for _ in range(rounds):
+    errors: list[float] = []
+    while len(errors) < rounds or errors[-1] > tolerance:
+        if len(errors) > max(rounds, PATIENCE) and errors[-1] > 0.9 * errors[-1 - PATIENCE]:
+            warnings.warn(f"raking: the targets contradict each other; margins are off by up to {errors[-1]:.3g} after {len(errors)} rounds", stacklevel=2)
+            break
         for m in MARGINS:
             step = w.groupBy(m).agg(F.sum("w").alias("s")).join(targets[m], m).select(m, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0).alias("r"))
             w = w.join(step, m).select(*MARGINS, "tokens", (F.col("w") * F.col("r")).alias("w"))
         w = written(w, "raked")
+        errors.append(margin_error(w, targets) if len(errors) + 1 >= rounds else float("inf"))
     return w
 
 

@@ -267,3 +267,19 @@ def test_one_row_of_each_group_where_ids_repeat(spark):
     kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(2, b.upper()), (5, a), (7, "alone here"), (7, "apart there"), (None, a)]
     assert sorted((tuple(r) for r in kept), key=repr) == sorted(want, key=repr)
+
+
+def test_raking_reaches_every_margin_where_sources_and_languages_go_together(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"s{s}", f"l{g}", t, int(rng.integers(500, 1000) * (50 if s == 0 else 1) * (60 if s % 4 == g else 1))) for s in range(8) for g in range(4) for t in ("long", "short")]
+    cells = pd.DataFrame(rows, columns=["source", "lang", "topic", "tokens"])
+    got = mixing.raked_cells(spark.createDataFrame(cells)).toPandas()
+    for m in mixing.MARGINS:
+        want = (cells.groupby(m).tokens.sum() / cells.tokens.sum()) ** mixing.POWERS[m]
+        assert np.abs(got.groupby(m).w.sum() / (want / want.sum()) - 1).max() < 1e-7
+
+
+def test_raking_reports_targets_that_contradict_each_other(spark):
+    rows = [("a", "x", "t", 900), ("b", "y", "t", 50), ("c", "z", "t", 50)]  # each source is one language, and their powers differ
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.raked_cells(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"))
