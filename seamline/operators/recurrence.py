@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from seamline.operators.byte_diff import BASE, window_hashes
 
-#: Known blocks that are sent to every task at most; ``recurrences`` refuses more.
+#: Known blocks that one pass sends to every task, unless a single string has more; ``recurrences`` takes as many passes as it needs.
 MOST_BLOCKS = 1 << 20
 
 
@@ -25,13 +26,31 @@ def place_free(hashes: np.ndarray, length: int, size: int) -> np.ndarray:
     return hashes * np.uint64(pow(BASE, (1 << 31) - length + size, 1 << 64))
 
 
+def groups_of(known: list[tuple[int, bytes]], size: int) -> list[list[tuple[int, bytes]]]:
+    """``known`` in order, cut into groups of at most ``MOST_BLOCKS`` whole blocks; a longer string is a group of its own."""
+    groups: list[list[tuple[int, bytes]]] = [[]]
+    held = 0
+    for k, content in known:
+        if groups[-1] and held + len(content) // size > MOST_BLOCKS:
+            groups.append([])
+            held = 0
+        groups[-1].append((k, content))
+        held += len(content) // size
+    return groups
+
+
 def recurrences(df: DataFrame, known: list[tuple[int, bytes]], size: int, least: int) -> DataFrame:
     """``(id, content)`` rows against known byte strings: id, known_id, start (of the run, in bytes) and blocks.
 
     Every window of ``size`` bytes is hashed; windows whose hash is a known block's give alignments, and each alignment is
     verified by digest, block by block. The longest verified run of an alignment counts, the earliest on ties, if it has
-    ``least`` blocks. The known side is bounded by ``MOST_BLOCKS``; nothing on the other side is capped.
+    ``least`` blocks. The known side goes in groups of ``MOST_BLOCKS`` blocks, one pass over ``df`` each; neither side is capped.
     """
+    passes = [_one_pass(df, group, size, least) for group in groups_of(known, size)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _one_pass(df: DataFrame, known: list[tuple[int, bytes]], size: int, least: int) -> DataFrame:
     table: dict[int, list[tuple[int, int]]] = {}
     digests: dict[int, list[str]] = {}
     for k, content in known:
@@ -39,8 +58,6 @@ def recurrences(df: DataFrame, known: list[tuple[int, bytes]], size: int, least:
         hashes = place_free(window_hashes(content, size), len(content), size)[::size].tolist()
         for n, h in enumerate(hashes):
             table.setdefault(h, []).append((k, n))
-    if sum(map(len, digests.values())) > MOST_BLOCKS:
-        raise ValueError("too many known blocks for one pass")
     wanted = np.array(sorted(table), dtype=np.uint64)
 
     def matches(data: bytes) -> Iterator[tuple[int, int, int]]:

@@ -197,10 +197,8 @@ def byte_diff_cuts(spark, sf_dir):
 
 @_query()
 def any_offset_match(spark, sf_dir):
-    """Where runs of benchmark passages recur in documents, at any byte. The passages are the bounded side, and checked."""
+    """Where runs of benchmark passages recur in documents, at any byte. The driver holds the passages, which go in groups."""
     passages = _table(spark, sf_dir, "benchmark").where("text is not null")
-    if (passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > recurrence.MOST_BLOCKS * 32:
-        raise ValueError("too many known passages for one pass")
     known = [(r["item_id"], r["text"].encode()) for r in passages.collect()]
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
     return recurrence.recurrences(docs, known, 32, LEAST_RUN)

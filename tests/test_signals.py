@@ -62,6 +62,15 @@ def test_recurrences(spark):
     assert got == [(1, 7, 333, 6), (5, 7, 0, 3), (5, 7, 1200, 3), (5, 7, 1402, 6)]
 
 
+def test_recurrences_in_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    known = [(k, rng.bytes(64 * 4)) for k in range(5)]
+    df = spark.createDataFrame([(1, bytearray(b"xx".join(c for _, c in known)))], "id long, content binary")
+    monkeypatch.setattr(recurrence, "MOST_BLOCKS", 9)
+    got = sorted(tuple(r) for r in recurrence.recurrences(df, known, 64, 3).collect())
+    assert len(recurrence.groups_of(known, 64)) == 3 and got == [(1, k, k * 258, 4) for k in range(5)]
+
+
 def test_keep_first_stream(spark, tmp_path):
     for n, part in enumerate(([(1, 0), (1, 10), (2, 5)], [(1, 11), (1, 40), (2, 30), (1, None)])):
         spark.createDataFrame(part, "k long, t long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/p={n}")
