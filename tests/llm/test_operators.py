@@ -9,7 +9,7 @@ import tiktoken  # noqa: F401
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from seamline.llm import archives, language, merge_replay, mixing, near_copies, personal_data, quality, queries, token_counts, transport_stream, tree_search
+from seamline.llm import archives, language, merge_replay, mixing, near_copies, personal_data, quality, queries, token_counts, transport_stream
 from seamline.llm.vocabularies import load_encoding, load_ranks, public_path, split_pattern
 
 SMALL = "/root/testdata/sf0.001"
@@ -195,27 +195,6 @@ def test_bit_sliced_forest():
         assert (pd.factorize(label)[0] == pd.factorize(want)[0]).all()
 
 
-@pytest.mark.parametrize("spread", [0.0, 1.0])
-def test_dual_tree(spread):
-    rng = np.random.default_rng(7)
-    x = np.floor(rng.normal(size=(3000, 8)) * 20 * spread) + 3
-    ids = rng.permutation(3000)
-    best, names = tree_search.dual_tree(x[:200], ids[:200], x, ids, 20)
-    scores = x[:200] @ x.T
-    for i in range(200):
-        order = np.lexsort((ids, -scores[i]))
-        order = order[ids[order] != ids[i]][:20]
-        assert names[i].tolist() == ids[order].tolist() and best[i].tolist() == scores[i][order].tolist()
-
-
-def test_top_k_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (20, [0.5, 0.5]), (None, [1.0, 1.0]), (5, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = tree_search.top_inner_products(df, df.vec_id % 20 == 0).orderBy("query_id", "rank").collect()
-    assert [tuple(r) for r in got] == [(0, 1, 1, 4096), (0, 2, 20, 2048), (20, 1, 0, 2048), (20, 2, 1, 2048)]
-    assert tree_search.top_inner_products(df.limit(0), df.vec_id % 20 == 0).count() == 0
-
-
 def test_pipeline(spark):
     docs = pd.read_parquet(f"{SMALL}/documents.parquet")
     df = spark.read.parquet(f"{SMALL}/documents.parquet")
