@@ -41,18 +41,16 @@ def rule_topic(text: Column) -> Column:
     )
 
 
-def with_cells(df: DataFrame, text_col: str, source_col: str, lang_col: str, topic: Column | None = None) -> DataFrame:
-    """``df`` and one struct column ``_cell`` of source, lang, topic and tokens."""
+def with_cells(df: DataFrame, text_col: str, source_col: str, lang_col: str, topic: Column | None, carried: dict[str, Column]) -> DataFrame:
+    """The ``carried`` columns and one struct column ``cell`` of source, lang, topic and tokens; no other name is left."""
     text = F.col(quoted(text_col))
-    return df.withColumn(
-        "_cell",
-        F.struct(
-            F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit("")).alias("source"),
-            F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("")).alias("lang"),
-            F.coalesce(rule_topic(text) if topic is None else topic, F.lit("")).alias("topic"),
-            F.floor((F.octet_length(F.coalesce(text, F.lit(""))) + 3) / 4).cast("long").alias("tokens"),
-        ),
+    cell = F.struct(
+        F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit("")).alias("source"),
+        F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("")).alias("lang"),
+        F.coalesce(rule_topic(text) if topic is None else topic, F.lit("")).alias("topic"),
+        F.floor((F.octet_length(F.coalesce(text, F.lit(""))) + 3) / 4).cast("long").alias("tokens"),
     )
+    return df.select(*[c.alias(n) for n, c in carried.items()], cell.alias("cell"))
 
 
 def margin_error(w: DataFrame, targets: dict[str, DataFrame]) -> float:
@@ -105,6 +103,20 @@ def draw(id_col: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
+def _weighed(df: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, powers: dict[str, float], keep_share: float, rounds: int, columns: list[str]) -> DataFrame:
+    """``row``, the named columns as one struct, so that none of them can clash with what is made here, and ``mix``."""
+    row = F.struct(*[F.col(quoted(n)) for n in columns])
+    marked = with_cells(df, text_col, source_col, lang_col, topic, {"row": row, "u": draw(id_col)})
+    cells = marked.groupBy(*[F.col(f"cell.{m}").alias(m) for m in MARGINS]).agg(F.sum("cell.tokens").alias("tokens"))
+    raked = written(cell_probabilities(raked_cells(written(cells, "cells"), powers, rounds), keep_share), "probabilities")
+    total = raked.agg(F.sum("tokens")).first()[0] or 0
+    ratio = F.when(F.col("tokens") > 0, F.col("w") * F.lit(float(total)) / F.col("tokens")).otherwise(1.0)
+    side = raked.select(F.struct(*MARGINS).alias("key"), ratio.alias("ratio"), F.col("probability").alias("p"))
+    left = marked.withColumn("key", F.struct(*[F.col(f"cell.{m}").alias(m) for m in MARGINS]))
+    mix = F.struct("cell.source", "cell.lang", "cell.topic", "cell.tokens", "ratio", F.col("p").alias("probability"), (F.col("u") < F.col("p")).alias("kept"))
+    return left.join(side, "key").select("row", mix.alias("mix"))
+
+
 def mixed(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -116,19 +128,28 @@ def mixed(
     keep_share: float = KEEP_SHARE,
     rounds: int = ROUNDS,
     columns: list[str] | None = None,
+    out: str = "_mix",
 ) -> DataFrame:
-    """``columns`` of every document (all, unless named) and a struct ``_mix``: source, lang, topic, tokens, ratio (weight
-    per token against the corpus), probability and kept."""
-    marked = with_cells(df, text_col, source_col, lang_col, topic)
-    cells = marked.groupBy(*[F.col(f"_cell.{m}").alias(m) for m in MARGINS]).agg(F.sum("_cell.tokens").alias("tokens"))
-    raked = written(cell_probabilities(raked_cells(written(cells, "cells"), powers, rounds), keep_share), "probabilities")
-    total = raked.agg(F.sum("tokens")).first()[0] or 0
-    ratio = F.when(F.col("tokens") > 0, F.col("w") * F.lit(float(total)) / F.col("tokens")).otherwise(1.0)
-    side = raked.select(F.struct(*MARGINS).alias("_key"), ratio.alias("_ratio"), F.col("probability").alias("_p"))
-    names = df.columns if columns is None else columns
-    left = marked.select(*[F.col(quoted(n)) for n in names], "_cell", draw(id_col).alias("_u")).withColumn("_key", F.struct(*[F.col(f"_cell.{m}").alias(m) for m in MARGINS]))
-    mix = F.struct("_cell.source", "_cell.lang", "_cell.topic", "_cell.tokens", F.col("_ratio").alias("ratio"), F.col("_p").alias("probability"), (F.col("_u") < F.col("_p")).alias("kept"))
-    return left.join(side, "_key").select(*[F.col(quoted(n)) for n in names], mix.alias("_mix"))
+    """``columns`` of every document (all, unless named) and a struct ``out``: source, lang, topic, tokens, ratio (weight
+    per token against the corpus), probability and kept. A column of the input named as ``out`` gives way to it."""
+    names = [n for n in (df.columns if columns is None else columns) if n.lower() != out.lower()]
+    found = _weighed(df, id_col, text_col, source_col, lang_col, topic, powers, keep_share, rounds, names)
+    return found.select("row.*", F.col("mix").alias(out))
+
+
+def sampled(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    topic: Column | None = None,
+    powers: dict[str, float] = POWERS,
+    keep_share: float = KEEP_SHARE,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """The documents that are kept, with all their columns, whatever those are named."""
+    return _weighed(df, id_col, text_col, source_col, lang_col, topic, powers, keep_share, rounds, df.columns).where("mix.kept").select("row.*")
 
 
 def mixing_sql(powers: dict[str, float] = POWERS, keep_share: float = KEEP_SHARE, rounds: int = ROUNDS) -> str:

@@ -217,12 +217,12 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     alike. Rows are told apart, not ids: rows of one id and unlike texts belong to their own groups; of rows of one group
     and the smallest id, the text with the smallest hash stays, once. Rows without an id stay, as no component can name them.
     """
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    marked = written(similar_texts.sketched(numbered, text_col, words_per_shingle), "sketched")
-    labels = similar_texts.set_labels(marked, text_col, similarity, words_per_shingle)
-    key = F.col(quoted(id_col))
-    rows = marked.where(key.isNotNull()).select(key.alias("id"), F.xxhash64(quoted(text_col)).alias("digest"), "_row", "_set")
+    # The row travels as one struct, so that its columns can't clash with those made here.
+    row, key = F.struct(*[F.col(quoted(n)) for n in df.columns]), F.col(quoted(id_col))
+    numbered = df.select(row.alias("row"), key.alias("id"), F.col(quoted(text_col)).alias("text"), F.monotonically_increasing_id().alias("number"))
+    marked = written(similar_texts.sketched(numbered, "text", words_per_shingle), "sketched")
+    labels = similar_texts.set_labels(marked, "text", similarity, words_per_shingle)
+    rows = marked.where("id is not null").select("id", F.xxhash64("text").alias("digest"), "number", "_set")
     rows = rows.join(labels, "_set", "left").withColumn("label", F.coalesce("label", "_set"))
-    first = rows.groupBy("label").agg(F.min(F.struct("id", "digest", "_row")).alias("first")).select("first._row")
-    names = [F.col(quoted(n)) for n in df.columns]
-    return marked.join(written(first, "first"), "_row", "left_semi").select(*names).unionByName(marked.where(key.isNull()).select(*names))
+    first = rows.groupBy("label").agg(F.min(F.struct("id", "digest", "number")).alias("first")).select("first.number")
+    return marked.join(written(first, "first"), "number", "left_semi").select("row.*").unionByName(marked.where("id is null").select("row.*"))

@@ -7,10 +7,11 @@ import numpy as np
 import pandas as pd
 import pytest
 import tiktoken  # noqa: F401
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from seamline.llm import archives, language, merge_replay, mixing, near_copies, personal_data, quality, queries, token_counts, transport_stream
+from seamline.llm import archives, language, merge_replay, mixing, near_copies, personal_data, quality, queries, similar_texts, token_counts, transport_stream
 from seamline.llm.vocabularies import load_encoding, load_ranks, public_path, split_pattern
 
 SMALL = "/root/testdata/sf0.001"
@@ -254,13 +255,31 @@ def test_bit_sliced_forest():
         assert (pd.factorize(label)[0] == pd.factorize(want)[0]).all()
 
 
+def brute_similar(texts, similarity=0.8):
+    """Pairs of Jaccard similarity at least ``similarity`` over five-word shingles, by comparing every two texts."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return [(i, j) for i in range(len(sets)) for j in range(i) if (len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))]
+
+
+def one_of_each(texts, ids):
+    """Whether each row stays: the smallest id of each group of similar texts, by comparing every two texts."""
+    label = list(range(len(texts)))
+    for i, j in brute_similar(texts):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    first = pd.Series(ids).groupby(label).transform("min")
+    return (first == pd.Series(ids)).to_numpy()
+
+
 def test_pipeline(spark):
     docs = pd.read_parquet(f"{SMALL}/documents.parquet")
     df = spark.read.parquet(f"{SMALL}/documents.parquet")
     good = quality.score_quality(df, quality.fit_quality(df, spark.read.parquet(f"{SMALL}/labels.parquet")), ["doc_id"]).toPandas().set_index("doc_id").predicted
     docs = docs[good[docs.doc_id].values == 1]
-    fps = np.array([near_copies.simhash(t) for t in docs.text], dtype=np.uint64)
-    docs = docs[np.array(brute_components(fps, docs.doc_id.values)) == docs.doc_id.values]
+    docs = docs[one_of_each(docs.text.tolist(), docs.doc_id.tolist())]
     field = personal_data.trained_field()
     docs["text"] = [personal_data.masked(t, personal_data.all_spans([t], field)[0][1]) for t in docs.text]
     docs["n_chars"] = docs.text.str.len()
@@ -271,13 +290,49 @@ def test_pipeline(spark):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SMALL).collect()} == want and want
 
 
-def brute_similar(texts, similarity=0.8):
-    """Pairs of Jaccard similarity at least ``similarity`` over five-word shingles, by comparing every two texts."""
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    return [(i, j) for i in range(len(sets)) for j in range(i) if (len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))]
+#: Columns named as the operators name their own.
+CLASHES = ("_ratio", "_p", "_mix", "_key", "_cell", "_u", "_row", "_set", "_size", "_bits", "_buckets", "row", "mix", "key", "cell", "u", "ratio", "p", "label", "number", "id", "tokens", "score", "n_tokens", "ids")
+
+
+def test_mixing_with_clashing_columns(spark, odd):
+    plain = {r.doc_id: r._mix for r in mixing.mixed(odd).collect()}
+    more = odd.select("doc_id", "text", "source", "lang", *[F.lit(f"mine {c}").alias(c) for c in CLASHES])
+    got = mixing.mixed(more).collect()
+    assert {r.doc_id: r._mix for r in got} == plain and {r._ratio for r in got} == {"mine _ratio"}
+    kept = mixing.sampled(more)
+    assert kept.columns == more.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, m in plain.items() if m.kept)
+    assert {r[c] for r in kept.collect() for c in CLASHES} == {f"mine {c}" for c in CLASHES}
+
+
+def run_pipeline(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_pipeline_with_nulls_repeats_and_clashing_columns(spark, odd, tmp_path):
+    rows = odd.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast("long")))
+    plain = run_pipeline(spark, tmp_path / "plain", rows)
+    more = rows.drop("score", "id").select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHES])
+    clashing = run_pipeline(spark, tmp_path / "clashing", more)
+    key = lambda found: sorted((r.doc_id is None, r.doc_id or 0, r.ids_sha256) for r in found)
+    assert key(plain) == key(clashing)
+    # Without labels of both kinds no document is rejected; of equal texts the smallest id stays, and rows without an id stay.
+    assert {r.doc_id for r in plain} - {None} <= {0, 3, 4, 6, 8} and sum(r.doc_id is None for r in plain) > 0
+
+
+def test_pipeline_of_an_empty_table(spark, odd, tmp_path):
+    assert run_pipeline(spark, tmp_path, odd.limit(0)) == []
+
+
+def test_similar_texts_in_tiles_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "TILE", 5)
+    monkeypatch.setattr(similar_texts, "LOOKED_UP", 700)
+    rng = np.random.default_rng(14)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    texts = [" ".join("changed" if rng.random() < share else w for w in base) for share in [0.0] * 3 + [0.01] * 20 + [0.04] * 20]
+    kept = near_copies.one_of_each(spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts})).repartition(4)).toPandas().doc_id
+    assert sorted(kept) == np.flatnonzero(one_of_each(texts, list(range(len(texts))))).tolist() and 1 < len(kept) < len(texts)
 
 
 def test_near_copies_stage_against_brute_force(spark):
