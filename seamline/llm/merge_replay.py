@@ -1,9 +1,14 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct words of an Arrow slice are laid end to end as byte tokens. An inverted index maps each adjacent token pair
-to the positions where it stands; pairs leave a heap by rank, every occurrence of the pair is merged at once (left to
-right), and only the pairs of the touched neighbours enter the index again. Words never share a pair, so each word goes
-through the very merges it would go through alone. Encoded words are remembered per worker up to ``MEMORY_WORDS``.
+Documents become chunks: the distinct words of a chunk, and for each document the numbers of its words. Words are dealt
+to slots by hash, so that a word of any number of chunks is replayed once in the corpus. In a slot the words are laid end
+to end as byte tokens, and an inverted index maps each adjacent token pair to the positions where it stands. Merges are
+applied in rank order, every occurrence of a rank's pairs at once (left to right), and only the pairs of the touched
+neighbours enter the index again. Words never share a pair, so each word goes through the very merges it would go through
+alone. The ids of words travel back to their chunks, where documents are put together and decoded.
+
+What is shuffled is each chunk's distinct words, their ids, and the (compressed) word numbers; no table of words is sent
+to every task. A task holds one chunk, or the distinct words of one slot; there is a slot for every partition of the input.
 
 Defined cases: a null text is empty (no ids); a single word of any length is one run of the index (n log n); equal texts
 give equal ids; repeated rows stay repeated; an empty table gives an empty table; other columns are ignored.
@@ -14,18 +19,28 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from seamline.llm.arrow import append_columns, texts_of
+from seamline.llm.arrow import byte_slices, offsets_of, quoted, texts_of
+from seamline.llm.storage import written
 from seamline.llm.vocabularies import load_ranks, public_path, split_pattern
 
-#: Encoded words that a worker remembers, and the longest word worth remembering.
-MEMORY_WORDS, MEMORY_CHARS = 600_000, 64
+#: Bytes of text of a chunk at most, unless one text is longer, and of the slices in which it is read.
+CHUNK_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
+#: Bytes of words that are replayed together at most, unless one word is longer, and words that are put together at once.
+REPLAY_BYTES, JOINED_WORDS = 1 << 17, 1 << 19
+LEAST_SLOTS = 64
 #: Ids are smaller than two to this power.
 PAIR_BITS = 17
 
@@ -34,8 +49,6 @@ class Replay:
     """Encoder and decoder for one rank table."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         #: Rank of the token that a pair of tokens makes, for every pair that makes one.
         self.pairs: dict[int, int] = {}
@@ -44,9 +57,14 @@ class Replay:
                 left, right = ranks.get(whole[:cut]), ranks.get(whole[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << PAIR_BITS | right] = rank
-        self.memory: dict[str, bytes] = {}
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.text = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> list[array]:
         """Ids of each word, by replaying the merges over all words together."""
         token: list[int] = []
         after: list[int] = []
@@ -62,21 +80,31 @@ class Replay:
                 after.append(-1)
                 before.append(-1)
                 before += range(base, base + n - 1)
-        # Places of the pairs that make the token of a rank; pairs that make the same token are merged left to right alike.
+        # Positions of every pair that makes a token, and the pairs that wait for their rank's turn.
         index: dict[int, list[int]] = {}
+        waiting: dict[int, list[int]] = {}
+        heap: list[int] = []
+
+        def enter(pair: int, rank: int, at: int) -> None:
+            index[pair] = [at]
+            if rank in waiting:
+                waiting[rank].append(pair)
+            else:
+                waiting[rank] = [pair]
+                heapq.heappush(heap, rank)
+
         for i, k in enumerate(after):
             if k >= 0:
-                r = rank_of(token[i] << bits | token[k])
-                if r is not None:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-        heap = list(index)
-        heapq.heapify(heap)
+                pair = token[i] << bits | token[k]
+                if pair in index:
+                    index[pair].append(i)
+                elif (r := rank_of(pair)) is not None:
+                    enter(pair, r, i)
         while heap:
             rank = heapq.heappop(heap)
-            places = index.pop(rank)
+            pairs = waiting.pop(rank)
+            # Different pairs may make the same token; the leftmost goes first whichever it is.
+            places = index.pop(pairs[0]) if len(pairs) == 1 else [i for p in pairs for i in index.pop(p)]
             places.sort()
             for i in places:
                 k = after[i]
@@ -88,25 +116,21 @@ class Replay:
                 after[k] = -1
                 if nxt >= 0:
                     before[nxt] = i
-                    r = rank_of(rank << bits | token[nxt])
-                    if r is not None:
-                        if r in index:
-                            index[r].append(i)
-                        else:
-                            index[r] = [i]
-                            heapq.heappush(heap, r)
+                    pair = rank << bits | token[nxt]
+                    if pair in index:
+                        index[pair].append(i)
+                    elif (r := rank_of(pair)) is not None:
+                        enter(pair, r, i)
                 prev = before[i]
                 if prev >= 0:
-                    r = rank_of(token[prev] << bits | rank)
-                    if r is not None:
-                        if r in index:
-                            index[r].append(prev)
-                        else:
-                            index[r] = [prev]
-                            heapq.heappush(heap, r)
+                    pair = token[prev] << bits | rank
+                    if pair in index:
+                        index[pair].append(prev)
+                    elif (r := rank_of(pair)) is not None:
+                        enter(pair, r, prev)
         out = []
         for start, word in zip(starts, words, strict=True):
-            ids = []
+            ids = array("I")
             i = start if word else -1
             while i >= 0:
                 ids.append(token[i])
@@ -117,24 +141,18 @@ class Replay:
     def encode_texts(self, texts: list[str], splitter) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [splitter.findall(t) for t in texts]
-        known = self.memory
-        distinct = {w for words in split for w in words}
-        fresh = [w for w in distinct if w not in known]
-        if len(known) + len(fresh) > MEMORY_WORDS:
-            # Words of this slice stay at hand; older ones are encoded again when they come back.
-            known = self.memory = {w: known[w] for w in distinct if w in known}
-            fresh = [w for w in distinct if w not in known]
-        known.update((w, array("I", ids).tobytes()) for w, ids in zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in fresh:
-            if len(w) > MEMORY_CHARS:
-                del known[w]
-        return out
+        words = list({w for parts in split for w in parts})
+        known = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
+        return [b"".join([known[w].tobytes() for w in parts]) for parts in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        """Bytes of ids given as little-endian unsigned 32-bit integers."""
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of ids laid end to end, and the number of bytes of each id."""
+        return gathered(self.text, self.starts[ids], self.sizes[ids]), self.sizes[ids]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``starts``, laid end to end."""
+    return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
 @lru_cache(maxsize=2)
@@ -158,26 +176,178 @@ ENCODED = T.StructType(
 )
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, dtype="<u4")
+    planes = np.frombuffer(pa.decompress(data, 4 * count, codec="zstd"), dtype=np.uint8).reshape(4, count)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
+
+
+class Words(dict):
+    """Distinct words, numbered from 0 as they come."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def numbers(self, words: list[str]) -> array:
+        return array("I", map(self.__getitem__, words))
+
+
+def by_slot(words: list[str], slots: int) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    """Slot, places (ascending) and words of each slot that has any."""
+    digest = xxhash.xxh64_intdigest
+    slot = np.array([digest(w) % slots for w in words], dtype=np.int64)
+    order = np.argsort(slot, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(order) else []:
+        yield int(slot[part[0]]), part, [words[i] for i in part]
+
+
+def replayed(batches: Iterator[pa.RecordBatch], encode) -> Iterator[pa.RecordBatch]:
+    """Ids for rows (slot, chunk, numbers, words) in order of slot: chunk, numbers, how many words and ids, and the (packed) token counts and ids.
+
+    ``encode`` maps a list of byte strings to their ids; each distinct word of a slot goes through it once.
+    """
+    held, known = None, {}
+    for batch in batches:
+        slots = np.asarray(batch.column(0))
+        for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(slots)) + 1) if batch.num_rows else []:
+            if held != slots[part[0]]:
+                held, known = slots[part[0]], {}
+            lists = [batch.column(3)[int(i)].as_py() for i in part]
+            fresh = list(dict.fromkeys(w for words in lists for w in words if w not in known))
+            ends = np.cumsum([len(w.encode()) for w in fresh]) if fresh else []
+            at = 0
+            while at < len(fresh):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + REPLAY_BYTES, side="right")))
+                known.update(zip(fresh[at:stop], encode([w.encode() for w in fresh[at:stop]]), strict=True))
+                at = stop
+            found = [[known[w] for w in words] for words in lists]
+            counts = [packed(np.array([len(x) for x in ids])) for ids in found]
+            joined = [packed(np.frombuffer(b"".join([x.tobytes() for x in ids]), dtype="<u4")) for ids in found]
+            rows = pa.array(part)
+            sizes = pa.array([len(words) for words in lists], pa.int64()), pa.array([sum(map(len, ids)) for ids in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), *sizes, pa.array(counts, pa.binary()), pa.array(joined, pa.binary())], ["chunk", "numbers", "n_words", "n_ids", "counts", "ids"])
+
+
 def encode_documents(df: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, digests_only: bool = False) -> DataFrame:
     """``keep`` columns, the ids of each whole text, the bytes they decode to, and both digests. See the module docstring.
 
-    ``digests_only`` leaves out the ``ids`` and ``decoded`` columns, so that no text-sized value leaves the worker.
+    ``digests_only`` leaves out the ``ids`` and ``decoded`` columns, so that no text-sized value leaves the worker. A kept
+    column whose name is among the made ones gives way to the made one.
     """
     path = path or public_path("byte_bpe_multi_50k.tiktoken")
     pattern = split_pattern()
     made = T.StructType([f for f in ENCODED if not (digests_only and f.name in ("ids", "decoded"))])
+    keep = [k for k in keep if k.lower() not in {f.name for f in made}]
+    slots = max(LEAST_SLOTS, df.rdd.getNumPartitions())
+    # Columns get places for names here, so that none can clash.
+    source = df.select(F.col(quoted(text_col)).alias("text"), *[F.col(quoted(n)).alias(f"k{i}") for i, n in enumerate(keep)])
+    fields = [T.StructField(f"k{i}", T.ArrayType(source.schema[f"k{i}"].dataType)) for i in range(len(keep))]
+    names = [f.name for f in fields]
+    piece = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("numbers", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("ends", T.ArrayType(T.LongType())), *fields])
+    kinds = [to_arrow_type(f.dataType) for f in piece]
+
+    def chunk_rows(chunk: int, words: Words, numbers: list[array], parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v.cast(kind.value_type))
+        coded = np.frombuffer(b"".join([n.tobytes() for n in numbers]), dtype="<u4")
+        # The commonest word gets the smallest number, so that numbers pack well.
+        order = np.argsort(-np.bincount(coded, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), dtype="<u4")
+        rank[order] = np.arange(len(words))
+        listed_words = list(words)
+        for slot, places, mine in by_slot([listed_words[i] for i in order.tolist()], slots):
+            row = [pa.array([chunk]), pa.array([slot], pa.int32()), pa.array([packed(np.diff(places, prepend=0))], pa.binary()), pa.array([mine], kinds[3])]
+            yield pa.RecordBatch.from_arrays(row + [pa.nulls(1, k) for k in kinds[4:]], names=piece.names)
+        ends = pa.array(offsets_of([len(n) for n in numbers])[1:])
+        row = [pa.array([chunk]), pa.nulls(1, kinds[1]), pa.array([packed(rank[coded])], pa.binary()), pa.nulls(1, kinds[3]), listed(ends, kinds[4])]
+        kept = [pa.concat_arrays([p.column(p.schema.get_field_index(n)) for p in parts]) for n in names]
+        yield pa.RecordBatch.from_arrays(row + [listed(v, k) for v, k in zip(kept, kinds[5:], strict=True)], names=piece.names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, first = load_splitter(pattern), TaskContext.get().partitionId() << 32
+        words, numbers, parts, size = Words(), [], [], 0
+        for batch in batches:
+            for part in byte_slices(batch, "text", SLICE_BYTES):
+                texts = texts_of(part, "text")
+                here = sum(map(len, texts))
+                if parts and size + here > CHUNK_BYTES:
+                    yield from chunk_rows(first, words, numbers, parts)
+                    first, words, numbers, parts, size = first + 1, Words(), [], [], 0
+                numbers += [words.numbers(splitter.findall(t)) for t in texts]
+                parts.append(part)
+                size += here
+        if parts:
+            yield from chunk_rows(first, words, numbers, parts)
+
+    table = written(source.mapInArrow(cut, piece), "word-chunks")
+    dealt = table.where("slot is not null").select("slot", "chunk", "numbers", "words").repartition(slots, "slot").sortWithinPartitions("slot")
+    ids = dealt.mapInArrow(lambda batches: replayed(batches, load_replay(path).encode_words), "chunk long, numbers binary, n_words long, n_ids long, counts binary, ids binary")
+    whole = table.where("slot is null").select("chunk", F.lit(1).alias("last"), "numbers", "ends", *names)
+    both = whole.unionByName(ids.withColumn("last", F.lit(0)), allowMissingColumns=True)  # of each chunk its words' ids, then its documents
+    chunks = max(1, table.where("slot is null").count())
+    out = T.StructType([*[source.schema[n] for n in names], *made])
+    outs = [to_arrow_type(f.dataType) for f in made]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, counts, ids = [], [], []
+        for batch in batches:
+            column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+            for i, last in enumerate(column("last").to_pylist()):
+                read = lambda c, n, i=i: unpacked(column(c)[i].as_py(), n)
+                if not last:
+                    many, total = column("n_words")[i].as_py(), column("n_ids")[i].as_py()
+                    numbers.append(np.cumsum(read("numbers", many), dtype=np.int64))
+                    counts.append(read("counts", many))
+                    ids.append(read("ids", total))
+                    continue
+                ends = np.asarray(column("ends")[i].values)
+                total = int(ends[-1]) if len(ends) else 0
+                coded = read("numbers", total)
+                size, start, flat = _laid_out(numbers, counts, ids)
+                numbers, counts, ids = [], [], []
+                at = 0
+                while at < len(ends):
+                    base = int(ends[at - 1]) if at else 0
+                    stop = max(at + 1, int(np.searchsorted(ends, base + JOINED_WORDS, side="right")))
+                    values = _documents(load_replay(path), coded[base : ends[stop - 1]], ends[at:stop] - base, size, start, flat)
+                    kept = [column(n)[i].values.slice(at, stop - at) for n in names]
+                    yield pa.RecordBatch.from_arrays([*kept, *[pa.array(values[f.name], type=k) for f, k in zip(made, outs, strict=True)]], names=out.names)
+                    at = stop
+
+    joined = both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "last").mapInArrow(join, out)
+    return joined.select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(keep)], *made.names)
+
+
+def _laid_out(numbers: list[np.ndarray], counts: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token count and first token's place of each word number, and the tokens."""
+    if not numbers:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+    which, many = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
+    size, start = np.zeros(len(which), dtype=np.int64), np.zeros(len(which), dtype=np.int64)
+    size[which], start[which] = many, np.cumsum(many) - many
+    return size, start, np.concatenate(ids)
+
 
-    def make(part) -> list:
-        replay, splitter = load_replay(path), load_splitter(pattern)
-        ids = replay.encode_texts(texts_of(part, text_col), splitter)
-        back = [replay.decode(x) for x in ids]
-        whole = {
-            "n_tokens": [len(x) // 4 for x in ids],
-            "ids": ids,
-            "decoded": back,
-            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back],
-        }
-        return [whole[f.name] for f in made]
-
-    return append_columns(df, keep, text_col, made, make, limit=1 << 20)
+def _documents(replay: Replay, coded: np.ndarray, ends: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np.ndarray) -> dict[str, list]:
+    """The made columns of documents whose words ``coded`` end at ``ends``."""
+    sizes = size[coded]
+    ids = gathered(flat, start[coded], sizes)
+    token_ends = offsets_of(sizes)[ends]
+    text, lengths = replay.decode(ids)
+    byte_ends = offsets_of(lengths)[token_ends]
+    cut = lambda v, stops: [v[a:b].tobytes() for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+    tokens, back = cut(ids, token_ends), cut(text, byte_ends)
+    return {
+        "n_tokens": np.diff(token_ends, prepend=0).tolist(),
+        "ids": tokens,
+        "decoded": back,
+        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in tokens],
+        "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back],
+    }

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
@@ -77,6 +78,35 @@ def test_merge_replay_on_runs():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.encode_ordinary(w) for w in words]
 
 
+def test_a_word_of_two_chunks_is_replayed_once():
+    replay, seen = merge_replay.load_replay(public_path("byte_bpe_multi_50k.tiktoken")), []
+
+    def encode(words):
+        seen.extend(words)
+        return replay.encode_words(words)
+
+    batch = lambda slot, chunk, words: pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([chunk]), pa.array([b""]), pa.array([words])], ["slot", "chunk", "numbers", "words"])
+    rows = [batch(0, 1, ["one", " two"]), batch(0, 2, [" two", "three"]), batch(0, 3, ["one"]), batch(1, 1, [" four"])]
+    out = pa.Table.from_batches(merge_replay.replayed(iter(rows), encode)).to_pylist()
+    assert sorted(seen) == [b" four", b" two", b"one", b"three"] and [r["chunk"] for r in out] == [1, 2, 3, 1]
+    e = load_encoding(public_path("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    assert merge_replay.unpacked(out[1]["ids"], out[1]["n_ids"]).tolist() == e.encode_ordinary(" two") + e.encode_ordinary("three")
+
+
+def test_chunks_and_slots_of_any_size_agree(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    texts = [None, "", "x" * 5000, *[" ".join(rng.choice(["über", "a", "日本語", "2024", "plain", "\n\n"], n)) for n in rng.integers(0, 80, 200)]]
+    df = spark.createDataFrame([(i % 50, t, "mine", None) for i, t in enumerate(texts)], "doc_id long, text string, ids string, chunk string").repartition(3)
+    e = load_encoding(public_path("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    want = sorted((i % 50, np.array(e.encode_ordinary(t or ""), dtype="<u4").tobytes(), (t or "").encode()) for i, t in enumerate(texts))
+    for name, value in {"CHUNK_BYTES": 700, "SLICE_BYTES": 200, "REPLAY_BYTES": 20, "JOINED_WORDS": 15, "LEAST_SLOTS": 7}.items():
+        monkeypatch.setattr(merge_replay, name, value)
+    got = merge_replay.encode_documents(df, ["doc_id", "ids", "chunk"])
+    assert got.columns == ["doc_id", "chunk", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"]
+    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got.collect()) == want
+    assert merge_replay.encode_documents(df.limit(0), ["doc_id"]).count() == 0
+
+
 def test_quality(spark, odd):
     r = queries.op3_quality_classifier(spark, "/root/testdata/sf0.01").toPandas()
     m = r.merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
