@@ -7,8 +7,8 @@ applied in rank order, every occurrence of a rank's pairs at once (left to right
 neighbours enter the index again. Words never share a pair, so each word goes through the very merges it would go through
 alone. The ids of words travel back to their chunks, where documents are put together and decoded.
 
-What is shuffled is each chunk's distinct words, their ids, and the (compressed) word numbers; no table of words is sent
-to every task. A task holds one chunk, or the distinct words of one slot; there is a slot for every partition of the input.
+What is shuffled is each chunk's distinct words, their ids, and the word numbers, all compressed; no table of words is
+sent to every task. A task holds one chunk, or the distinct words of one slot; there is a slot for every partition of the input.
 
 Defined cases: a null text is empty (no ids); a single word of any length is one run of the index (n log n); equal texts
 give equal ids; repeated rows stay repeated; an empty table gives an empty table; other columns are ignored.
@@ -33,7 +33,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from seamline.llm.arrow import byte_slices, offsets_of, quoted, texts_of
-from seamline.llm.storage import written
 from seamline.llm.vocabularies import load_ranks, public_path, split_pattern
 
 #: Bytes of text of a chunk at most, unless one text is longer, and of the slices in which it is read.
@@ -177,18 +176,36 @@ ENCODED = T.StructType(
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, compressed byte plane by byte plane."""
+    """Unsigned 32-bit integers, each byte plane compressed by itself after the planes' sizes; planes of zeros are left out."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    parts = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) if p.any() else b"" for p in planes]
+    return np.array([len(p) for p in parts], dtype="<u4").tobytes() + b"".join(parts)
 
 
 def unpacked(data: bytes, count: int) -> np.ndarray:
-    if not count:
-        return np.zeros(0, dtype="<u4")
-    planes = np.frombuffer(pa.decompress(data, 4 * count, codec="zstd"), dtype=np.uint8).reshape(4, count)
+    planes = np.zeros((4, count), dtype=np.uint8)
+    at = 16
+    for plane, size in zip(planes, np.frombuffer(data[:16], dtype="<u4").tolist(), strict=True):
+        if size:
+            plane[:] = np.frombuffer(pa.decompress(data[at : at + size], count, codec="zstd"), dtype=np.uint8)
+            at += size
     return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
 
 
+def packed_words(words: list[str]) -> bytes:
+    """Words as the size of their sizes, their (packed) sizes in bytes, and their compressed bytes."""
+    raw = [w.encode() for w in words]
+    sizes = packed(np.array([len(r) for r in raw]))
+    return len(sizes).to_bytes(4, "little") + sizes + pa.compress(b"".join(raw), codec="zstd", asbytes=True)
+
+
+def unpacked_words(data: bytes, count: int) -> list[bytes]:
+    stop = 4 + int.from_bytes(data[:4], "little")
+    ends = np.cumsum(unpacked(data[4:stop], count), dtype=np.int64).tolist()
+    text = pa.decompress(data[stop:], ends[-1], codec="zstd", asbytes=True)
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Words(dict):
     """Distinct words, numbered from 0 as they come."""
 
@@ -210,30 +227,32 @@ def by_slot(words: list[str], slots: int) -> Iterator[tuple[int, np.ndarray, lis
 
 
 def replayed(batches: Iterator[pa.RecordBatch], encode) -> Iterator[pa.RecordBatch]:
-    """Ids for rows (slot, chunk, numbers, words) in order of slot: chunk, numbers, how many words and ids, and the (packed) token counts and ids.
+    """Ids for the rows of words among (place, chunk, n_documents, n_words, numbers, words) rows in order of place: chunk,
+    n_words, numbers, how many ids, and the token counts and ids.
 
-    ``encode`` maps a list of byte strings to their ids; each distinct word of a slot goes through it once.
+    ``encode`` maps a list of byte strings to their ids; each distinct word of a place goes through it once.
     """
     held, known = None, {}
     for batch in batches:
-        slots = np.asarray(batch.column(0))
+        batch = batch.filter(batch.column(2).is_null())
+        slots, many = np.asarray(batch.column(0)), batch.column(3).to_pylist()
         for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(slots)) + 1) if batch.num_rows else []:
             if held != slots[part[0]]:
                 held, known = slots[part[0]], {}
-            lists = [batch.column(3)[int(i)].as_py() for i in part]
+            lists = [unpacked_words(batch.column(5)[i].as_py(), many[i]) for i in part.tolist()]
             fresh = list(dict.fromkeys(w for words in lists for w in words if w not in known))
-            ends = np.cumsum([len(w.encode()) for w in fresh]) if fresh else []
+            ends = np.cumsum([len(w) for w in fresh])
             at = 0
             while at < len(fresh):
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + REPLAY_BYTES, side="right")))
-                known.update(zip(fresh[at:stop], encode([w.encode() for w in fresh[at:stop]]), strict=True))
+                known.update(zip(fresh[at:stop], encode(fresh[at:stop]), strict=True))
                 at = stop
             found = [[known[w] for w in words] for words in lists]
             counts = [packed(np.array([len(x) for x in ids])) for ids in found]
             joined = [packed(np.frombuffer(b"".join([x.tobytes() for x in ids]), dtype="<u4")) for ids in found]
-            rows = pa.array(part)
-            sizes = pa.array([len(words) for words in lists], pa.int64()), pa.array([sum(map(len, ids)) for ids in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), *sizes, pa.array(counts, pa.binary()), pa.array(joined, pa.binary())], ["chunk", "numbers", "n_words", "n_ids", "counts", "ids"])
+            kept = [batch.column(k).take(pa.array(part)) for k in (1, 3, 4)]
+            sizes = pa.array([sum(map(len, ids)) for ids in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*kept, sizes, pa.array(counts, pa.binary()), pa.array(joined, pa.binary())], ["chunk", "n_words", "numbers", "n_ids", "counts", "ids"])
 
 
 def encode_documents(df: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, digests_only: bool = False) -> DataFrame:
@@ -247,11 +266,12 @@ def encode_documents(df: DataFrame, keep: list[str], text_col: str = "text", pat
     made = T.StructType([f for f in ENCODED if not (digests_only and f.name in ("ids", "decoded"))])
     keep = [k for k in keep if k.lower() not in {f.name for f in made}]
     slots = max(LEAST_SLOTS, df.rdd.getNumPartitions())
+    places = 2 * slots
     # Columns get places for names here, so that none can clash.
     source = df.select(F.col(quoted(text_col)).alias("text"), *[F.col(quoted(n)).alias(f"k{i}") for i, n in enumerate(keep)])
     fields = [T.StructField(f"k{i}", T.ArrayType(source.schema[f"k{i}"].dataType)) for i in range(len(keep))]
     names = [f.name for f in fields]
-    piece = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("numbers", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("ends", T.ArrayType(T.LongType())), *fields])
+    piece = T.StructType([T.StructField("place", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("n_documents", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("numbers", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("ends", T.ArrayType(T.LongType())), *fields])
     kinds = [to_arrow_type(f.dataType) for f in piece]
 
     def chunk_rows(chunk: int, words: Words, numbers: list[array], parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +283,12 @@ def encode_documents(df: DataFrame, keep: list[str], text_col: str = "text", pat
         rank[order] = np.arange(len(words))
         listed_words = list(words)
         for slot, places, mine in by_slot([listed_words[i] for i in order.tolist()], slots):
-            row = [pa.array([chunk]), pa.array([slot], pa.int32()), pa.array([packed(np.diff(places, prepend=0))], pa.binary()), pa.array([mine], kinds[3])]
-            yield pa.RecordBatch.from_arrays(row + [pa.nulls(1, k) for k in kinds[4:]], names=piece.names)
+            row = [pa.array([slot]), pa.array([slots + chunk]), pa.nulls(1, kinds[2]), pa.array([len(mine)]), pa.array([packed(np.diff(places, prepend=0))], pa.binary()), pa.array([packed_words(mine)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row + [pa.nulls(1, k) for k in kinds[6:]], names=piece.names)
         ends = pa.array(offsets_of([len(n) for n in numbers])[1:])
-        row = [pa.array([chunk]), pa.nulls(1, kinds[1]), pa.array([packed(rank[coded])], pa.binary()), pa.nulls(1, kinds[3]), listed(ends, kinds[4])]
+        row = [pa.array([slots + chunk]), pa.nulls(1, kinds[1]), pa.array([len(ends)]), pa.array([len(coded)]), pa.array([packed(rank[coded])], pa.binary()), pa.nulls(1, kinds[5]), listed(ends, kinds[6])]
         kept = [pa.concat_arrays([p.column(p.schema.get_field_index(n)) for p in parts]) for n in names]
-        yield pa.RecordBatch.from_arrays(row + [listed(v, k) for v, k in zip(kept, kinds[5:], strict=True)], names=piece.names)
+        yield pa.RecordBatch.from_arrays(row + [listed(v, k) for v, k in zip(kept, kinds[7:], strict=True)], names=piece.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, first = load_splitter(pattern), TaskContext.get().partitionId() << 32
@@ -286,32 +306,23 @@ def encode_documents(df: DataFrame, keep: list[str], text_col: str = "text", pat
         if parts:
             yield from chunk_rows(first, words, numbers, parts)
 
-    table = written(source.mapInArrow(cut, piece), "word-chunks")
-    dealt = table.where("slot is not null").select("slot", "chunk", "numbers", "words").repartition(slots, "slot").sortWithinPartitions("slot")
-    ids = dealt.mapInArrow(lambda batches: replayed(batches, load_replay(path).encode_words), "chunk long, numbers binary, n_words long, n_ids long, counts binary, ids binary")
-    whole = table.where("slot is null").select("chunk", F.lit(1).alias("last"), "numbers", "ends", *names)
-    both = whole.unionByName(ids.withColumn("last", F.lit(0)), allowMissingColumns=True)  # of each chunk its words' ids, then its documents
-    chunks = max(1, table.where("slot is null").count())
+    # Words go to their slots and documents to their chunks' places (which lie beyond the slots) in one exchange, which is
+    # computed once and read twice, whole both times, and the ids come to where the documents are.
+    sent = source.mapInArrow(cut, piece).repartition(places, "place")
+    ids = sent.sortWithinPartitions("place").mapInArrow(lambda batches: replayed(batches, load_replay(path).encode_words), "chunk long, n_words long, numbers binary, n_ids long, counts binary, ids binary")
+    parts = ids.repartition(places, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("n_words", "numbers", "n_ids", "counts", "ids")).alias("parts"))
+    both = sent.join(parts.withColumnRenamed("chunk", "place"), "place", "left")
     out = T.StructType([*[source.schema[n] for n in names], *made])
     outs = [to_arrow_type(f.dataType) for f in made]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, counts, ids = [], [], []
         for batch in batches:
             column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
-            for i, last in enumerate(column("last").to_pylist()):
-                read = lambda c, n, i=i: unpacked(column(c)[i].as_py(), n)
-                if not last:
-                    many, total = column("n_words")[i].as_py(), column("n_ids")[i].as_py()
-                    numbers.append(np.cumsum(read("numbers", many), dtype=np.int64))
-                    counts.append(read("counts", many))
-                    ids.append(read("ids", total))
+            for i, many in enumerate(column("n_words").to_pylist()):
+                if not column("n_documents")[i].is_valid:
                     continue
-                ends = np.asarray(column("ends")[i].values)
-                total = int(ends[-1]) if len(ends) else 0
-                coded = read("numbers", total)
-                size, start, flat = _laid_out(numbers, counts, ids)
-                numbers, counts, ids = [], [], []
+                size, start, flat = _laid_out(column("parts")[i].as_py() or [])
+                ends, coded = np.asarray(column("ends")[i].values), unpacked(column("numbers")[i].as_py(), many)
                 at = 0
                 while at < len(ends):
                     base = int(ends[at - 1]) if at else 0
@@ -321,18 +332,18 @@ def encode_documents(df: DataFrame, keep: list[str], text_col: str = "text", pat
                     yield pa.RecordBatch.from_arrays([*kept, *[pa.array(values[f.name], type=k) for f, k in zip(made, outs, strict=True)]], names=out.names)
                     at = stop
 
-    joined = both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "last").mapInArrow(join, out)
-    return joined.select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(keep)], *made.names)
+    return both.mapInArrow(join, out).select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(keep)], *made.names)
 
 
-def _laid_out(numbers: list[np.ndarray], counts: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _laid_out(parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token count and first token's place of each word number, and the tokens."""
-    if not numbers:
+    if not parts:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
-    which, many = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
+    which = np.concatenate([np.cumsum(unpacked(p["numbers"], p["n_words"]), dtype=np.int64) for p in parts])
+    many = np.concatenate([unpacked(p["counts"], p["n_words"]) for p in parts]).astype(np.int64)
     size, start = np.zeros(len(which), dtype=np.int64), np.zeros(len(which), dtype=np.int64)
     size[which], start[which] = many, np.cumsum(many) - many
-    return size, start, np.concatenate(ids)
+    return size, start, np.concatenate([unpacked(p["ids"], p["n_ids"]) for p in parts])
 
 
 def _documents(replay: Replay, coded: np.ndarray, ends: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np.ndarray) -> dict[str, list]:

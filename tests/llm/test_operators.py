@@ -85,7 +85,7 @@ def test_a_word_of_two_chunks_is_replayed_once():
         seen.extend(words)
         return replay.encode_words(words)
 
-    batch = lambda slot, chunk, words: pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([chunk]), pa.array([b""]), pa.array([words])], ["slot", "chunk", "numbers", "words"])
+    batch = lambda slot, chunk, words: pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([chunk]), pa.nulls(1, pa.int64()), pa.array([len(words)]), pa.array([b""]), pa.array([merge_replay.packed_words(words)])], ["place", "chunk", "n_documents", "n_words", "numbers", "words"])
     rows = [batch(0, 1, ["one", " two"]), batch(0, 2, [" two", "three"]), batch(0, 3, ["one"]), batch(1, 1, [" four"])]
     out = pa.Table.from_batches(merge_replay.replayed(iter(rows), encode)).to_pylist()
     assert sorted(seen) == [b" four", b" two", b"one", b"three"] and [r["chunk"] for r in out] == [1, 2, 3, 1]
