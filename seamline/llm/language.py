@@ -139,7 +139,7 @@ def fit(rows: list[tuple[int, str, str]]) -> Model | None:
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = FIT_ROWS) -> Model | None:
     """The model of the rows that are not held out (CRC-32 of the id mod 5 is not 0)."""
-    learnt = docs.where(crc_of(id_col) % 5 != 0).select(id_col, lang_col)
+    learnt = docs.where((crc_of(id_col) % 5 != 0) & F.col(lang_col).isNotNull()).groupBy(id_col).agg(F.min(lang_col).alias(lang_col))
     return fit(fitting_rows(docs, learnt, id_col, text_col, lang_col, limit))
 
 

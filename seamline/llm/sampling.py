@@ -11,11 +11,16 @@ def crc_of(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
 
-def fitting_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> list[tuple[int, str, object]]:
-    """At most ``limit`` rows ``(id, whole text, label)``, those with the smallest hash of id, in that order.
+#: UTF-8 bytes of the texts that fitting sees at most.
+FIT_BYTES = 64 << 20
 
-    The ids are chosen from ids and labels alone; only the chosen rows' texts are fetched. Rows whose id or label is null
-    are not chosen, and an id that is in either table more than once counts once.
+
+def fitting_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int, most_bytes: int = FIT_BYTES) -> list[tuple[int, str, object]]:
+    """At most ``limit`` rows ``(id, whole text, label)`` of at most ``most_bytes`` in all, those with the smallest hash of id, in that order.
+
+    The ids are chosen from ids and labels alone, then by the sizes of their texts; only the chosen rows' texts are
+    fetched. Rows whose id or label is null are not chosen. An id that is in either table more than once counts once, with
+    its smallest label and its shortest text (of equally short ones the first in order); a null text is empty.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     order = F.xxhash64(F.col(id_col).cast("string"))
@@ -25,7 +30,19 @@ def fitting_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         found.setdefault(r["id"], r["label"])
     if not found:
         return []
-    kind = docs.schema[id_col].dataType
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isin([F.lit(i).cast(kind) for i in found]))
-    by_id = {r["id"]: r["text"] or "" for r in texts.collect()}
-    return [(i, by_id[i], label) for i, label in found.items() if i in by_id]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).alias("size"), text.alias("text"))
+
+    def of(ids) -> DataFrame:
+        return rows.where(F.col("id").isin([F.lit(i).cast(docs.schema[id_col].dataType) for i in ids]))
+
+    sizes = {r["id"]: r["size"] for r in of(found).groupBy("id").agg(F.min("size").alias("size")).collect()}
+    taken, held = [], 0
+    for i in found:
+        if i in sizes and held + sizes[i] <= most_bytes:
+            taken.append(i)
+            held += sizes[i]
+    if not taken:
+        return []
+    texts = {r["id"]: r["text"] for r in of(taken).groupBy("id").agg(F.min(F.struct("size", "text"))["text"].alias("text")).collect()}
+    return [(i, texts[i], found[i]) for i in taken]

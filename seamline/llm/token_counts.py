@@ -1,7 +1,7 @@
 """Token counts: batch encoding in an Arrow function that returns lengths only.
 
-Texts are cut at safe boundaries into pieces, pieces are gathered into batches of equal bytes, and each batch is encoded
-at once; only the lengths leave the worker. The vocabulary is the byte-level BPE of ``byte_bpe_50k``; its rank file holds
+Texts are cut at safe boundaries into pieces of about ``PIECE_BYTES``, pieces are gathered into batches of about
+``BATCH_BYTES``, and each batch is encoded at once; only the lengths leave the worker. The vocabulary is the byte-level BPE of ``byte_bpe_50k``; its rank file holds
 the same tokens as its JSON file, and the rank encoder is several times faster. The JSON library's default treatment of
 ``<|endoftext|>`` inside a text (one token, never merged with its surroundings) is kept.
 
@@ -11,9 +11,9 @@ texts give equal counts; repeated rows stay repeated; an empty table gives an em
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -22,20 +22,25 @@ from seamline.llm.vocabularies import load_encoding, public_path, split_pattern
 
 #: Strings that the tokenizer file marks as one token each.
 SPECIAL = "<|endoftext|>"
-#: Characters after which the next safe boundary ends a piece.
-PIECE_CHARS = 1 << 15
+#: Bytes after which the next safe boundary ends a piece.
+PIECE_BYTES = 1 << 15
 #: Bytes of pieces that are encoded in one call.
 BATCH_BYTES = 1 << 20
-#: Between a letter or digit and a single space before a letter, every tokenizer pattern of this family starts a new
-#: match, whatever stands further left or right.
-BOUNDARY = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
+#: Between a letter or digit and a single space before a letter, and between a letter and the punctuation of scripts that
+#: are written without spaces, every tokenizer pattern of this family starts a new match, whatever stands further left or right.
+BOUNDARY = regex.compile(r"(?<=[\p{L}\p{N}])(?= \p{L})|(?<=\p{L})(?=[。，、！？；：「」『』（）।።။។])")
 
 
-def safe_pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
+def utf8_length(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
+def safe_pieces(text: str, limit: int = PIECE_BYTES) -> Iterator[str]:
     """Pieces of ``text`` whose token counts add up to that of the whole; their concatenation is ``text``."""
-    start = 0
-    while len(text) - start > limit:
-        cut = BOUNDARY.search(text, start + limit)
+    start, size = 0, utf8_length(text)
+    step = max(1, limit * len(text) // size) if size > limit else len(text)
+    while len(text) - start > step:
+        cut = BOUNDARY.search(text, start + step)
         if cut is None:
             break
         yield text[start : cut.start()]
@@ -66,7 +71,7 @@ def balanced_lengths(encode, texts: list[str], batch_bytes: int = BATCH_BYTES) -
             for piece in safe_pieces(part):
                 owners.append(i)
                 pieces.append(piece)
-                held += len(piece)
+                held += utf8_length(piece)
                 if held >= batch_bytes:
                     flush()
     if pieces:
@@ -88,6 +93,6 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", limit:
         encoding = load_encoding(path, pattern)
         texts = texts_of(part, text_col)
         counts = balanced_lengths(lambda pieces: encoding.encode_ordinary_batch(pieces, num_threads=1), texts)
-        return [[len(t.encode()) for t in texts], counts, [n > limit for n in counts]]
+        return [[utf8_length(t) for t in texts], counts, [n > limit for n in counts]]
 
     return append_columns(df, keep, text_col, COUNTED, make)

@@ -40,10 +40,36 @@ def test_token_counts(spark, odd, documents):
     assert [got[i].n_tokens for i in documents.doc_id] == want[len(ODD) :]
 
 
-def test_safe_pieces():
-    text = "word another 12 " * 9000
+@pytest.mark.parametrize("words", ["word another 12 ", "слово и другое 12 ", "这是一个句子。它很长，", "كلمة أخرى هنا ", "it's don't we'll ", "a。 b 。\u3000c "])
+def test_safe_pieces_count_as_the_whole(words):
+    text = words * 9000
     pieces = list(token_counts.safe_pieces(text))
     assert len(pieces) > 1 and "".join(pieces) == text
+    assert max(token_counts.utf8_length(p) for p in pieces) < 2 * token_counts.PIECE_BYTES
+    whole = Tokenizer.from_file(public_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False)
+    encoding = load_encoding(public_path("byte_bpe_50k.tiktoken"), split_pattern())
+    assert token_counts.balanced_lengths(lambda p: encoding.encode_ordinary_batch(p, num_threads=1), [text, "", text]) == [len(whole.ids), 0, len(whole.ids)]
+
+
+def test_batches_are_balanced_by_bytes():
+    held = []
+
+    def encode(pieces):
+        held.append(sum(len(p.encode()) for p in pieces))
+        return [[0]] * len(pieces)
+
+    token_counts.balanced_lengths(encode, ["это предложение " * 2000] * 200)
+    assert max(held) <= token_counts.BATCH_BYTES + 2 * token_counts.PIECE_BYTES and len(held) > 5
+
+
+def test_fitting_rows_are_bounded_and_settled(spark):
+    from seamline.llm.sampling import fitting_rows
+
+    docs = spark.createDataFrame([(1, "long text"), (1, "b"), (1, "a"), (2, "x" * 100), (3, None), (None, "n"), (4, "four")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, None), (9, 1), (None, 1)], "doc_id long, quality int")
+    assert sorted(fitting_rows(docs, labels, "doc_id", "text", "quality", 10)) == [(1, "a", 0), (2, "x" * 100, 1), (3, "", 1)]
+    assert sorted(fitting_rows(docs, labels, "doc_id", "text", "quality", 10, most_bytes=50)) == [(1, "a", 0), (3, "", 1)]
+    assert fitting_rows(docs.limit(0), labels, "doc_id", "text", "quality", 10) == [] == fitting_rows(docs, labels.limit(0), "doc_id", "text", "quality", 10)
 
 
 def test_transport_stream(odd):
