@@ -44,15 +44,16 @@ def append_columns(
     made: T.StructType,
     make: Callable[[pa.RecordBatch], list],
     limit: int = SLICE_BYTES,
+    more: list[str] | None = None,
 ) -> DataFrame:
     """``keep`` columns of ``df`` plus the ``made`` columns, computed slice by slice in Arrow.
 
-    Only ``keep`` and ``text_col`` leave the scan. A kept column whose name is among the made ones (in any case) gives
-    way to the made one. ``make`` gets a slice with ``keep`` and ``text_col`` and returns one list or array per made field.
+    Only ``keep``, ``text_col`` and ``more`` leave the scan. A kept column whose name is among the made ones (in any case) gives
+    way to the made one. ``make`` gets a slice with those columns and returns one list or array per made field.
     """
     taken = {f.name.lower() for f in made}
     keep = [k for k in keep if k.lower() not in taken]
-    need = list(dict.fromkeys([*keep, text_col]))
+    need = list(dict.fromkeys([*keep, text_col, *(more or [])]))
     source = df.select(*[F.col(quoted(n)) for n in need])
     schema = T.StructType([source.schema[n] for n in keep] + list(made))
     kinds = [to_arrow_type(f.dataType) for f in made]

@@ -2,8 +2,11 @@
 
 The writer emits a program association table, a program map table and one private elementary stream in PES packets of
 at most ``UNIT_BYTES``, each beginning with a random-access point, a clock reference and a presentation timestamp. The
-reader takes any aligned 188-byte stream: it follows the tables (with their CRC), checks continuity counters per PID,
-reassembles elementary packets and lists timestamps with their random-access flags.
+reader takes any aligned 188-byte stream: it follows the tables (with their CRC), checks continuity counters per PID
+(a packet may be sent twice, and its copy is left out; a declared discontinuity is no break), reassembles elementary
+packets, lists timestamps with their random-access flags, and reads the clock references.
+
+Streams are stored as a table in the shared folder, and what is reported of them is read back from there.
 
 Defined cases: a null text is empty and stored as 192 blanks; a stream of the wrong length or without sync bytes, or with
 a damaged table, raises ``ValueError``; equal payloads give equal streams; repeated rows stay repeated; an empty table
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from seamline.llm.arrow import append_columns, texts_of
+from seamline.llm.storage import written
 
 PACKET = 188
 SYNC = 0x47
@@ -108,7 +112,10 @@ class Parsed:
     streams: dict[int, int] = field(default_factory=dict)
     packets: int = 0
     breaks: int = 0
+    repeats: int = 0
     units: list[tuple[int, bool, bytes]] = field(default_factory=list)
+    #: Clock references of the streams' packets, in ticks of 27 MHz.
+    clocks: list[int] = field(default_factory=list)
 
     @property
     def payload(self) -> bytes:
@@ -152,7 +159,17 @@ def read_stream(data: bytes) -> Parsed:
     for pid in sorted(got.streams):
         mine = np.flatnonzero((pids == pid) & loaded)
         counters = rows[mine, 3].astype(np.int16) & 0x0F
-        got.breaks += int(((np.diff(counters) % 16) != 1).sum())
+        again = np.zeros(len(mine), dtype=bool)
+        for i in np.flatnonzero(np.diff(counters) == 0) + 1:
+            # The clock reference of a copy may differ; what it carries may not.
+            again[i] = not again[i - 1] and (rows[mine[i], starts[mine[i]] :] == rows[mine[i - 1], starts[mine[i - 1]] :]).all() if starts[mine[i]] == starts[mine[i - 1]] else False
+        got.repeats += int(again.sum())
+        mine, counters = mine[~again], counters[~again]
+        flags = np.where(adapted[mine] & (rows[mine, 4] > 0), rows[mine, 5], 0)
+        got.breaks += int((((np.diff(counters) % 16) != 1) & (flags[1:] & 0x80 == 0)).sum())
+        for row in rows[mine[(flags & 0x10 > 0) & (rows[mine, 4] >= 7)]]:
+            clock = int.from_bytes(row[6:12].tobytes(), "big")
+            got.clocks.append((clock >> 15) * 300 + (clock & 0x1FF))
         offsets = starts[mine]
         lengths = np.maximum(PACKET - offsets, 0)
         joined = rows[mine][np.arange(PACKET) >= offsets[:, None]].tobytes()
@@ -182,11 +199,12 @@ def describe(parsed: Parsed) -> str:
     stamps = ",".join(str(t) for t, _, _ in parsed.units)
     return (
         f"programs={len(parsed.programs)};streams={','.join(f'{p}:{k}' for p, k in sorted(parsed.streams.items()))};packets={parsed.packets};"
-        f"continuity_breaks={parsed.breaks};units={len(parsed.units)};pts={stamps};random_access={points}"
+        f"continuity_breaks={parsed.breaks};repeats={parsed.repeats};units={len(parsed.units)};pts={stamps};random_access={points};pcr={','.join(map(str, parsed.clocks))}"
     )
 
 
-STORED = T.StructType(
+MEDIA = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+READ = T.StructType(
     [
         T.StructField("n_bytes", T.LongType()),
         T.StructField("payload_bytes", T.LongType()),
@@ -200,19 +218,34 @@ STORED = T.StructType(
 )
 
 
-def media_columns(df: DataFrame, keep: list[str], text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """``keep`` columns, the stored stream (``media``, unless declined) and what reading it back gives. See the module docstring."""
-    made = STORED if with_media else T.StructType(STORED.fields[:-1])
+def stored_media(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` columns, the texts' UTF-8 bytes and their transport streams, read from the table that they are stored in."""
+
+    def make(part) -> list:
+        raw = [t.encode() for t in texts_of(part, text_col)]
+        return [[len(r) for r in raw], [write_stream(padded(r)) for r in raw]]
+
+    return written(append_columns(df, keep, text_col, MEDIA, make), "media")
+
+
+def read_media(stored: DataFrame, keep: list[str], with_media: bool = True) -> DataFrame:
+    """``keep`` columns, what reading the streams of ``stored_media`` gives, and the streams unless declined."""
+    made = READ if with_media else T.StructType(READ.fields[:-1])
 
     def make(part) -> list:
+        column = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()
         rows = []
-        for text in texts_of(part, text_col):
-            raw = text.encode()
-            media = write_stream(padded(raw))
+        for n_bytes, media in zip(column("n_bytes"), column("media"), strict=True):
             parsed = read_stream(media)
             back = parsed.payload
-            row = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(parsed)]
+            row = [n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(parsed)]
             rows.append([*row, media] if with_media else row)
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in made]
 
-    return append_columns(df, keep, text_col, made, make)
+    return append_columns(stored, keep, "media", made, make, more=["n_bytes"])
+
+
+def media_columns(df: DataFrame, keep: list[str], text_col: str = "text", with_media: bool = True) -> DataFrame:
+    """``keep`` columns, the stored stream (``media``, unless declined) and what reading it back gives. See the module docstring."""
+    keep = [k for k in keep if k.lower() not in {f.name for f in READ}]
+    return read_media(stored_media(df, keep, text_col), keep, with_media)

@@ -84,6 +84,47 @@ def test_transport_stream(odd):
     assert transport_stream.read_stream(stream[: 188 * 5] + stream[188 * 6 :]).breaks == 1
     with pytest.raises(ValueError):
         transport_stream.read_stream(stream[:-1])
+    assert parsed.clocks == [t * 300 for t, _, _ in parsed.units]
+
+
+def test_repeated_packets_and_declared_discontinuities():
+    data = np.random.default_rng(2).bytes(192 * 27)
+    stream = transport_stream.write_stream(data)
+    packets = [stream[at : at + 188] for at in range(0, len(stream), 188)]
+    for at in (2, 3, 10, len(packets) - 1):
+        parsed = transport_stream.read_stream(b"".join([*packets[: at + 1], packets[at], *packets[at + 1 :]]))
+        assert parsed.payload == data and (parsed.breaks, parsed.repeats) == (0, 1)
+    # A packet may be sent twice, not three times.
+    assert transport_stream.read_stream(b"".join([*packets[:5], packets[4], packets[4], *packets[5:]])).breaks == 1
+    jump = bytearray(packets[6])
+    jump[3:6] = bytes([0x30 | jump[3] & 15, 1, 0x80])
+    assert transport_stream.read_stream(b"".join([*packets[:4], bytes(jump), *packets[7:]])).breaks == 0
+
+
+def independent_payload(stream):
+    """The bytes of the elementary packets, packet by packet, with tables taken as known."""
+    out, unit = b"", b""
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        if (p[1] & 31) << 8 | p[2] != 0x100:
+            continue
+        body = p[4:] if p[3] & 0x30 == 0x10 else p[5 + p[4] :]
+        if p[1] & 0x40:
+            out, unit = out + unit[14:], b""
+        unit += body
+    return out + unit[14:]
+
+
+def test_registered_media_query_against_an_independent_parser(spark, documents):
+    rows = {r.doc_id: r for r in queries.op2_transport_stream(spark, SMALL).collect()}
+    assert len(rows) == len(documents)
+    stored = {r.doc_id: bytes(r.media) for r in transport_stream.stored_media(spark.read.parquet(f"{SMALL}/documents.parquet"), ["doc_id"]).collect()}
+    for i, text in zip(documents.doc_id, documents.text):
+        payload = transport_stream.padded((text or "").encode())
+        r = rows[i]
+        assert independent_payload(stored[i]) == payload and r.payload_bytes == len(payload) and r.n_bytes == len((text or "").encode())
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
 
 
 def test_merge_replay(spark, odd, documents):
