@@ -2,8 +2,9 @@
 
 ``pack_arc`` writes rows into ARC files (version 1 and 2 in turn), ``parse_arc`` reads the header layout that the file's
 version block declares and cuts payloads by their declared lengths, ``convert_arc`` synthesises WARC identifiers,
-timestamps, types and digests, and ``parse_warc`` reads the result back and checks every digest. Records with equal
-payloads of at least ``least`` bytes become revisits of the one with the smallest id.
+timestamps, types and digests (and a warcinfo record from the version block), and ``parse_warc`` reads the result back,
+checking every digest and length. A record's identifier comes from its file and its place there, so that repeated rows
+have different ones. Records with equal payloads of at least ``least`` bytes become revisits of the one with the smallest id.
 
 Files are rows ``(name, data)`` of tables in the shared folder, of about ``FILE_BYTES`` each. Duplicates are found on the
 index of ids and digests alone; only each file's own decisions travel to it.
@@ -35,6 +36,8 @@ LAYOUTS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+#: The place of the content type in both layouts.
+TYPE_AT = 3
 STAMP = "20240101000000"
 KIND = "text/html"
 
@@ -79,10 +82,13 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             layout = tuple(lines[1].split(" "))
             if not values[0].startswith("filedesc://") or layout != LAYOUTS.get(version):
                 raise ValueError("no version block of a known version")
-        elif len(values) != len(layout):
+        elif len(values) < len(layout):
             raise ValueError("a header line has the wrong number of fields")
         else:
-            yield dict(zip(layout, values, strict=True)), body
+            # A content type may hold blanks; no other field does.
+            after = len(layout) - TYPE_AT - 1
+            kind = " ".join(values[TYPE_AT:-after])
+            yield dict(zip(layout, [*values[:TYPE_AT], kind, *values[-after:]], strict=True)), body
         at = stop + 2 + size
 
 
@@ -91,25 +97,40 @@ def _row_of(fields: dict[str, str]) -> tuple[str, int | None]:
     return url, int(row) if row else None
 
 
-def record_id(row: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url}#row={row}')}>"
+def record_id(name: str, n: int) -> str:
+    """The identifier of record ``n`` of an ARC file; -1 is its version block."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#record={n}')}>"
 
 
-def convert_arc(data: bytes, revisits: dict[int, tuple[int, str]]) -> bytes:
-    """The WARC file of an ARC file; ``revisits`` maps a record's place to the id and URL of the response it repeats."""
+def warc_date(stamp: str) -> str:
+    return f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:14]}Z"
+
+
+def _record(head: list[tuple[str, str]], block: bytes) -> bytes:
+    head = [*head, ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), ("Content-Length", str(len(block)))]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def convert_arc(name: str, data: bytes, revisits: dict[int, tuple[int, str, int]]) -> bytes:
+    """The WARC file of an ARC file; ``revisits`` maps a record's place to the id, file and place of the response it repeats."""
     out = []
     for n, (fields, body) in enumerate(parse_arc(data)):
+        date = warc_date(fields["Archive-date"])
+        if not n:
+            version = f"software: seamline\r\nformat: WARC File Format 1.1\r\nis-part-of: {data[data.find(b'\n') + 1 :].split(b'\n')[0].decode()}\r\n"
+            about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, -1)), ("WARC-Date", date), ("WARC-Filename", warc_name(name)), ("Content-Type", "application/warc-fields")]
+            out.append(_record(about, version.encode()))
         url, row = _row_of(fields)
-        d = fields["Archive-date"]
         digest = sha1_base32(body)
         if fields.get("Checksum", digest) != digest:
             raise ValueError("a payload does not match its checksum")
         first = revisits.get(n)
         head = [
             ("WARC-Type", "revisit" if first else "response"),
-            ("WARC-Record-ID", record_id(row, url)),
-            ("WARC-Date", f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"),
+            ("WARC-Record-ID", record_id(name, n)),
+            ("WARC-Date", date),
             ("WARC-Target-URI", url),
+            ("WARC-IP-Address", fields["IP-address"]),
             ("WARC-Payload-Digest", f"sha1:{digest}"),
             ("Seamline-Payload-Length", str(len(body))),
             ("Seamline-Row", "" if row is None else str(row)),
@@ -117,19 +138,21 @@ def convert_arc(data: bytes, revisits: dict[int, tuple[int, str]]) -> bytes:
         if first:
             head += [
                 ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                ("WARC-Refers-To", record_id(*first)),
+                ("WARC-Refers-To", record_id(first[1], first[2])),
                 ("Seamline-Refers-To-Row", str(first[0])),
             ]
         else:
             head.append(("Content-Type", fields["Content-type"]))
-        kept = b"" if first else body
-        head.append(("Content-Length", str(len(kept))))
-        out += [b"WARC/1.1\r\n", "".join(f"{k}: {v}\r\n" for k, v in head).encode(), b"\r\n", kept, b"\r\n\r\n"]
+        out.append(_record(head, b"" if first else body))
     return b"".join(out)
 
 
+def warc_name(name: str) -> str:
+    return name.removesuffix(".arc") + ".warc"
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record; a response whose payload does not match its digest raises."""
+    """Header fields and block of each record; what does not match its digest or length raises."""
     at = 0
     while at < len(data):
         stop = data.find(b"\r\n\r\n", at)
@@ -141,8 +164,13 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         body = data[stop + 4 : stop + 4 + size]
         if len(body) < size or data[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
             raise ValueError("a declared length is wrong")
-        if fields["WARC-Type"] == "response" and fields["WARC-Payload-Digest"] != f"sha1:{sha1_base32(body)}":
-            raise ValueError("a payload does not match its digest")
+        if fields["WARC-Block-Digest"] != f"sha1:{sha1_base32(body)}":
+            raise ValueError("a block does not match its digest")
+        if fields["WARC-Type"] == "response":
+            if fields["WARC-Payload-Digest"] != fields["WARC-Block-Digest"]:
+                raise ValueError("a payload does not match its digest")
+            if fields["Seamline-Payload-Length"] != str(size):
+                raise ValueError("a payload does not have its length")
         yield fields, body
         at = stop + 8 + size
 
@@ -183,35 +211,36 @@ def warc_files(arcs: DataFrame, least: int = 0) -> DataFrame:
     firsts = (
         index.where(F.col("payload_bytes") >= least)
         .groupBy("payload_digest", "payload_bytes")
-        .agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "name", "n"))).alias("first"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1 and first is not null")
         .select("payload_digest", "payload_bytes", "first")
     )
     # Both sides are read from tables, so that a digest with very many rows can be split.
     revisits = index.select("name", "n", "id", "payload_digest", "payload_bytes").join(written(firsts, "arc-firsts"), ["payload_digest", "payload_bytes"]).where("id is null or id <> first.id")
-    per_file = revisits.groupBy("name").agg(F.collect_list(F.struct("n", F.col("first.id").alias("id"), F.col("first.url").alias("url"))).alias("revisits"))
+    per_file = revisits.groupBy("name").agg(F.collect_list(F.struct("n", F.col("first.id").alias("id"), F.col("first.name").alias("file"), F.col("first.n").alias("place"))).alias("revisits"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                known = {r["n"]: (r["id"], r["url"]) for r in found.as_py() or []}
-                yield pa.RecordBatch.from_pydict({"name": [name.replace(".arc", ".warc")], "data": pa.array([convert_arc(data.as_py(), known)], pa.binary())})
+                known = {r["n"]: (r["id"], r["file"], r["place"]) for r in found.as_py() or []}
+                yield pa.RecordBatch.from_pydict({"name": [warc_name(name)], "data": pa.array([convert_arc(name, data.as_py(), known)], pa.binary())})
 
     return arcs.join(per_file, "name", "left").select("name", "data", "revisits").mapInArrow(convert, "name string, data binary")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """One row for each record of WARC files."""
+    """One row for each response and revisit of WARC files; lengths are measured, but for revisits, which have no payload."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda v: int(v) if v else None
         for batch in batches:
             for data in batch.column("data"):
-                heads = [f for f, _ in parse_warc(data.as_py())]
+                records = [(f, len(body)) for f, body in parse_warc(data.as_py()) if f["WARC-Type"] != "warcinfo"]
+                heads = [f for f, _ in records]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number(f["Seamline-Row"]) for f in heads], pa.int64()),
-                        pa.array([int(f["Seamline-Payload-Length"]) for f in heads], pa.int64()),
+                        pa.array([size if f["WARC-Type"] == "response" else int(f["Seamline-Payload-Length"]) for f, size in records], pa.int64()),
                         pa.array([f["WARC-Payload-Digest"].removeprefix("sha1:") for f in heads], pa.string()),
                         pa.array([f["WARC-Type"] for f in heads], pa.string()),
                         pa.array([number(f.get("Seamline-Refers-To-Row")) for f in heads], pa.int64()),

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 import time
@@ -298,6 +299,31 @@ def test_archives(spark):
             list(archives.parse_arc(packed[:-2]))
 
 
+def test_archive_details(spark):
+    for version in (1, 2):
+        packed = archives.pack_arc("x.arc", version, [(1, "http://h/", b"ab"), (1, "http://h/", b"ab"), (2, "http://i/", b"ab")])
+        packed = packed.replace(b" text/html ", b" text/html; charset=utf-8 ")
+        assert [f["Content-type"] for f, _ in archives.parse_arc(packed)] == ["text/html; charset=utf-8"] * 3
+        converted = archives.convert_arc("x.arc", packed, {2: (1, "x.arc", 0)})
+        records = list(archives.parse_warc(converted))
+        assert [f["WARC-Type"] for f, _ in records] == ["warcinfo", "response", "response", "revisit"]
+        assert len({f["WARC-Record-ID"] for f, _ in records}) == 4 and records[3][0]["WARC-Refers-To"] == records[1][0]["WARC-Record-ID"]
+        assert records[1][0]["Content-Type"] == "text/html; charset=utf-8" and records[0][0]["WARC-Filename"] == "x.warc"
+        for damaged in (converted.replace(b"Seamline-Payload-Length: 2", b"Seamline-Payload-Length: 3"), converted.replace(b"\r\n\r\nab", b"\r\n\r\nac")):
+            with pytest.raises(ValueError):
+                list(archives.parse_warc(damaged))
+
+
+def test_registered_archive_query_against_the_table(spark):
+    pages = pd.read_parquet(f"{SMALL}/pages.parquet")
+    body = [(h or "").encode() for h in pages.html]
+    digest = [base64.b32encode(hashlib.sha1(b).digest()).decode() for b in body]
+    first = pd.Series(pages.page_id.values).groupby(digest).transform("min")
+    want = sorted((i, len(b), d, "response" if i == f else "revisit", None if i == f else f) for i, b, d, f in zip(pages.page_id, body, digest, first))
+    got = queries.op7_archive_round_trip(spark, SMALL).collect()
+    assert sorted(tuple(r)[:5] for r in got) == want and len({r.record_id for r in got}) == len(want)
+
+
 def test_mixing(spark, odd):
     got = mixing.mixed(odd, columns=["doc_id", "score"]).select("doc_id", "score", "_mix.*").toPandas()
     assert len(got) == len(ODD) and got.probability.between(0, 1).all()
