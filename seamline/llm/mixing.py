@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.arrow import quoted
-from seamline.llm.storage import written
+from seamline.llm.storage import scratch, written
 
 MARGINS = ("source", "lang", "topic")
 #: Powers of the margins' own shares that make the targets.
@@ -108,7 +108,8 @@ def _weighed(df: DataFrame, id_col: str, text_col: str, source_col: str, lang_co
     row = F.struct(*[F.col(quoted(n)) for n in columns])
     marked = with_cells(df, text_col, source_col, lang_col, topic, {"row": row, "u": draw(id_col)})
     cells = marked.groupBy(*[F.col(f"cell.{m}").alias(m) for m in MARGINS]).agg(F.sum("cell.tokens").alias("tokens"))
-    raked = written(cell_probabilities(raked_cells(written(cells, "cells"), powers, rounds), keep_share), "probabilities")
+    with scratch(df.sparkSession):
+        raked = written(cell_probabilities(raked_cells(written(cells, "cells"), powers, rounds), keep_share), "probabilities", read_later=True)
     total = raked.agg(F.sum("tokens")).first()[0] or 0
     ratio = F.when(F.col("tokens") > 0, F.col("w") * F.lit(float(total)) / F.col("tokens")).otherwise(1.0)
     side = raked.select(F.struct(*MARGINS).alias("key"), ratio.alias("ratio"), F.col("probability").alias("p"))

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from seamline.llm import similar_texts
 from seamline.llm.arrow import append_columns, quoted
 from seamline.llm.components import component_labels
-from seamline.llm.storage import written
+from seamline.llm.storage import scratch, written
 
 SEED = 42
 BLOCKS, TILE = 4, 1024
@@ -200,13 +200,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     if not 0 <= radius < BLOCKS:
         raise ValueError("the radius must be smaller than the number of blocks")
     source = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    marked = written(fingerprints(source, ["id"], "text", words_per_shingle), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    labels = component_labels(links(distinct.select("fp"), radius))
-    named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    named = written(named, "named")
-    least = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "components")
-    by_fp = written(named.join(least, "label").select("fp", "component_id"), "by-fingerprint")
+    with scratch(df.sparkSession):
+        marked = written(fingerprints(source, ["id"], "text", words_per_shingle), "fingerprints", read_later=True)
+        distinct = written(marked.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+        labels = component_labels(links(distinct.select("fp"), radius))
+        named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+        named = written(named, "named")
+        least = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "components")
+        by_fp = written(named.join(least, "label").select("fp", "component_id"), "by-fingerprint", read_later=True)
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -217,12 +218,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     alike. Rows are told apart, not ids: rows of one id and unlike texts belong to their own groups; of rows of one group
     and the smallest id, the text with the smallest hash stays, once. Rows without an id stay, as no component can name them.
     """
-    # The row travels as one struct, so that its columns can't clash with those made here.
-    row, key = F.struct(*[F.col(quoted(n)) for n in df.columns]), F.col(quoted(id_col))
-    numbered = df.select(row.alias("row"), key.alias("id"), F.col(quoted(text_col)).alias("text"), F.monotonically_increasing_id().alias("number"))
-    marked = written(similar_texts.sketched(numbered, "text", words_per_shingle), "sketched")
-    labels = similar_texts.set_labels(marked, "text", similarity, words_per_shingle)
-    rows = marked.where("id is not null").select("id", F.xxhash64("text").alias("digest"), "number", "_set")
-    rows = rows.join(labels, "_set", "left").withColumn("label", F.coalesce("label", "_set"))
-    first = rows.groupBy("label").agg(F.min(F.struct("id", "digest", "number")).alias("first")).select("first.number")
-    return marked.join(written(first, "first"), "number", "left_semi").select("row.*").unionByName(marked.where("id is null").select("row.*"))
+    # Columns travel under places for names, so that none can clash with those made here.
+    places = {n: f"c{i}" for i, n in enumerate(df.columns)}
+    key, text = places[id_col], places[text_col]
+    numbered = df.select(*[F.col(quoted(n)).alias(c) for n, c in places.items()], F.monotonically_increasing_id().alias("number"))
+    with scratch(df.sparkSession):
+        marked = written(similar_texts.sketched(numbered, text, words_per_shingle), "sketched", read_later=True)
+        labels = similar_texts.set_labels(marked, text, similarity, words_per_shingle)
+        rows = marked.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), "number", "_set")
+        rows = rows.join(labels, "_set", "left").select("id", "digest", "number", F.coalesce("label", "_set").alias("label"))
+        rows = written(rows, "labelled")
+        groups = rows.groupBy("label").agg(F.min(F.struct("id", "digest", "number"))["number"].alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        gone = rows.join(written(groups.select("label", "first"), "groups"), "label").where("number <> first").select("number")
+        gone = written(gone, "gone", read_later=True)
+    return marked.join(gone, "number", "left_anti").select(*[F.col(c).alias(n) for n, c in places.items()])
