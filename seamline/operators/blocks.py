@@ -44,3 +44,12 @@ def longest_verified_run(primary: DataFrame, reference: DataFrame, id_col: str,
     sized = known.withColumn("blocks", F.col("to_place") - F.col("from_place") + 1).where(F.col("blocks") >= least)
     best = F.max_by(F.struct("from_place", "blocks"), F.struct("blocks", -F.col("from_place")))
     return sized.groupBy(id_col).agg(best.alias("_best")).select(id_col, "_best.*")
+
+
+def without_cuts(value: Column | str, cuts: Column) -> Column:
+    """A text or binary value without its cuts, an array of disjoint ``start`` and ``stop`` (from 0) in order."""
+    value = F.col(value) if isinstance(value, str) else value
+    begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["stop"]))
+    ends = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(F.lit((1 << 31) - 1)))
+    kept = F.zip_with(begins, ends, lambda a, b: F.substring(value, a + 1, b - a))
+    return F.aggregate(kept, F.substring(value, 1, 0), lambda all_, part: F.concat(all_, part))

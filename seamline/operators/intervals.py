@@ -66,3 +66,28 @@ def segments(df: DataFrame, scope: list[str], at: str, tie: str, opens: Column)
     numbered = df.withColumn("_open", F.when(opens & (F.row_number().over(w) > 1), 1).otherwise(0))
     numbered = numbered.withColumn("segment", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*scope, "segment").agg(F.min(at).alias("start"), F.max(at).alias("stop"), F.count(F.lit(1)).alias("n"))
+
+
+def frame_ranges(frames: DataFrame, requests: DataFrame, scope: list[str]) -> DataFrame:
+    """The bytes of whole frames that cover requested times: ``scope``, from_byte, to_byte; null where a request begins past the end.
+
+    ``frames`` have until (the time at which a frame ends), start_byte and end_byte; ``requests`` have since and till, one
+    for each scope. The first frame is the first that ends after ``since``, the last the first that ends at ``till`` or
+    later, or the last of all.
+    """
+    both = frames.join(requests.select(*scope, "since", "till"), scope)
+    found = both.groupBy(*scope).agg(
+        F.min(F.when(F.col("since") < F.col("until"), F.col("start_byte"))).alias("from_byte"),
+        F.coalesce(F.min(F.when(F.col("till") <= F.col("until"), F.col("end_byte"))), F.max("end_byte")).alias("_to"),
+    )
+    return found.select(*scope, "from_byte", F.when(F.col("from_byte").isNotNull(), F.col("_to")).alias("to_byte"))
+
+
+def merged_tail(segments: DataFrame, scope: list[str], least: float) -> DataFrame:
+    """``segments`` with a last one shorter than ``least`` (stop - start) joined to the one before, if there is one."""
+    w = Window.partitionBy(*scope)
+    last = F.max("segment").over(w)
+    short = (last >= 1) & (F.max(F.when(F.col("segment") == last, F.col("stop") - F.col("start"))).over(w) < least)
+    kept = segments.withColumns({"_last": last, "_short": short})
+    number = F.when(F.col("_short") & (F.col("segment") == F.col("_last")), F.col("segment") - 1).otherwise(F.col("segment"))
+    return kept.withColumn("segment", number).groupBy(*scope, "segment").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"))

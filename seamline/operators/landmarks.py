@@ -6,6 +6,7 @@ Decoding of compressed sound is not part of this module; clips arrive as samples
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,12 +57,23 @@ def peaks(power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if (f, b) != (NEAR_FRAMES, NEAR_BINS):
                 good &= power > padded[f : f + frames, b : b + bins]
     at, which = np.nonzero(good)
-    order = np.lexsort((which, -power[at, which], at))
-    at, which = at[order], which[order]
-    place = np.arange(len(at)) - np.searchsorted(at, at)
-    at, which = at[place < PEAKS], which[place < PEAKS]
-    order = np.lexsort((which, at))
-    return at[order], which[order]
+    stay = np.ones(len(at), dtype=bool)
+    edges = np.append(np.searchsorted(at, np.unique(at)), len(at))
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b - a > PEAKS:
+            stay[a:b] = False
+            stay[a + np.array(strongest_places(power[at[a:b], which[a:b]].tolist()))] = True
+    return at[stay], which[stay]
+
+
+def strongest_places(values: list[float]) -> list[int]:
+    """Which of a frame's peaks, in order of bin, are kept: a stronger one takes the place of the first of the weakest."""
+    held = list(range(min(PEAKS, len(values))))
+    for new in range(len(held), len(values)):
+        weakest = min(range(len(held)), key=lambda k: values[held[k]])
+        if values[new] > values[held[weakest]]:
+            held[weakest] = new
+    return held
 
 
 def landmarks(samples: np.ndarray, hertz: int = HERTZ) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +106,19 @@ def landmark_rows(clips: DataFrame) -> DataFrame:
     return clips.select("id", "hertz", "samples").mapInArrow(run, "id long, frame long, hash long")
 
 
+def whole_matches(heard: DataFrame, known: DataFrame, least_votes: int = LEAST_VOTES, least_seconds: float = LEAST_SECONDS) -> DataFrame:
+    """``match_landmarks``, and of the matches of a known clip that overlap within a clip only the one with the most votes."""
+    found = match_landmarks(heard, known, least_votes, least_seconds)
+    return keep_apart(found, ["id", "known_id"], "from_frame", "to_frame", "votes")
+
+
+def landmark_floors(rows: DataFrame, least: int = 64, least_distinct: int = 48, seconds: tuple[float, float] = (5.0, 600.0), frame_seconds: float = HOP / HERTZ) -> DataFrame:
+    """``(id, landmarks, hashes, enough)`` of ``(id, frame, hash)`` rows: whether a clip has the landmarks, distinct hashes and length to be known by."""
+    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("landmarks"), F.count_distinct("hash").alias("hashes"), ((F.max("frame") - F.min("frame")) * frame_seconds).alias("_length"))
+    enough = (F.col("landmarks") >= least) & (F.col("hashes") >= least_distinct) & F.col("_length").between(*seconds)
+    return counts.select("id", "landmarks", "hashes", enough.alias("enough"))
+
+
 def match_landmarks(heard: DataFrame, known: DataFrame, least_votes: int = LEAST_VOTES, least_seconds: float = LEAST_SECONDS) -> DataFrame:
     """Where known clips recur: id, known_id, offset, votes, from_frame, to_frame.
 
@@ -112,20 +137,42 @@ def match_landmarks(heard: DataFrame, known: DataFrame, least_votes: int = LEAST
 def keep_apart(matches: DataFrame, keys: list[str], start: str, stop: str, strength: str) -> DataFrame:
     """Strongest first, the matches of a key that overlap no stronger kept one (half-open); ties go to the earlier.
 
-    A greedy choice within one key: a task holds the matches of one connected stretch of overlaps, not of a whole key.
+    A greedy choice within one key: rows are dealt by key and sorted, and a task holds a batch and one connected stretch of
+    overlaps, not a whole key.
     """
-    w = Window.partitionBy(*keys).orderBy(start, stop)
-    reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = matches.withColumn("_new", F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0))
-    marked = marked.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-    def choose(rows):
-        rows = rows.sort_values([strength, start, stop], ascending=[False, True, True], kind="stable")
-        kept, spans = [], []
-        for i, (a, b) in enumerate(zip(rows[start], rows[stop], strict=True)):
-            if all(b <= x or a >= y for x, y in spans):
+
+    def chosen(stretch: pa.Table) -> pa.Table:
+        rows = zip(*[stretch.column(c).to_pylist() for c in (strength, start, stop)], strict=True)
+        begins: list = []
+        ends: list = []
+        kept = []
+        for _, a, b, i in sorted((-v, a, b, i) for i, (v, a, b) in enumerate(rows)):
+            at = bisect_left(begins, b)  # kept spans are apart, so only the last that begins before the end can overlap
+            if not at or ends[at - 1] <= a:
+                begins.insert(at, a)
+                ends.insert(at, b)
                 kept.append(i)
-                spans.append((a, b))
-        return rows.iloc[kept].drop(columns="_stretch")
+        return stretch.take(sorted(kept))
 
-    return marked.groupBy(*keys, "_stretch").applyInPandas(choose, matches.schema)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, reach = None, None, None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            table = now if held is None else pa.concat_tables([held, now])
+            first = 0 if held is None else held.num_rows
+            cuts = []
+            columns = [now.column(c).to_pylist() for c in (*keys, start, stop)]
+            for i, (*k, a, b) in enumerate(zip(*columns, strict=True)):
+                if k != key or a >= reach:
+                    cuts.append(first + i)
+                    key, reach = k, b
+                reach = max(reach, b)
+            edges = [0, *[c for c in cuts if c]]
+            out = [chosen(table.slice(x, y - x)) if y - x > 1 else table.slice(x, 1) for x, y in zip(edges, edges[1:], strict=False)]
+            held = table.slice(edges[-1])
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+        if held is not None and held.num_rows:
+            yield from chosen(held).combine_chunks().to_batches()
+
+    return matches.repartition(*keys).sortWithinPartitions(*keys, start, stop).mapInArrow(choose, matches.schema)

@@ -19,12 +19,25 @@ def _beside(values: Column, i: Column, reach: int) -> Column:
     return F.array_max(F.concat(F.slice(values, first, i + 1 - first), F.slice(values, i + 2, F.lit(reach))))
 
 
+def strongest_places(peaks: Column, limit: int) -> Column:
+    """Of (strength, bin) structs in order of bin the ``limit`` strongest, taken one after the other into as many places:
+    once all are filled, a peak takes the first of the weakest ones' places, and only if it is stronger."""
+
+    def take(held: Column, new: Column) -> Column:
+        weakest = F.array_min(F.transform(held, lambda h: h["strength"]))
+        at = F.array_position(F.transform(held, lambda h: h["strength"]), weakest)
+        replaced = F.transform(held, lambda h, i: F.when(i + 1 == at, new).otherwise(h))
+        return F.when(F.size(held) < limit, F.array_append(held, new)).when(new["strength"] > weakest, replaced).otherwise(held)
+
+    return F.aggregate(F.slice(peaks, limit + 1, F.greatest(F.size(peaks) - limit, F.lit(0))), F.slice(peaks, 1, limit), take)
+
+
 def spectral_peaks(df: DataFrame, clip: str, frame: str, values: str, least_bin: int, under_max: float, near_frames: int, near_bins: int, limit: int) -> DataFrame:
     """``(clip, frame, bin)`` of strict local maxima at most ``under_max`` under the frame's largest value.
 
     A peak exceeds every value within ``near_frames`` frames and ``near_bins`` bins; bins below ``least_bin`` are
     neighbours only, and so are the first and last ``near_frames`` frames of a clip. Each frame keeps its ``limit``
-    strongest peaks, the lower bin first on ties. One window per clip brings the neighbouring frames together.
+    strongest peaks as ``strongest_places`` does. One window per clip brings the neighbouring frames together.
     """
     w = Window.partitionBy(clip).orderBy(frame)
     steps = [k for k in range(-near_frames, near_frames + 1) if k]
@@ -36,8 +49,8 @@ def spectral_peaks(df: DataFrame, clip: str, frame: str, values: str, least_bin:
         others = F.greatest(_beside(F.col("_v"), i, near_bins), *[_around(F.col(f"_n{k}"), i, near_bins) for k in range(len(steps))])
         return (i >= least_bin) & (v >= F.col("_floor")) & (v > others)
 
-    marked = F.transform("_v", lambda v, i: F.when(is_peak(v, i), F.struct((-v).alias("strength"), i.alias("bin"))))
-    best = F.slice(F.array_sort(F.array_compact(marked)), 1, limit)
+    marked = F.transform("_v", lambda v, i: F.when(is_peak(v, i), F.struct(v.alias("strength"), i.alias("bin"))))
+    best = strongest_places(F.array_compact(marked), limit)
     return whole.select(clip, frame, F.explode(best).alias("_p")).select(clip, frame, F.col("_p.bin").cast("long").alias("bin"))
 
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seamline.functions import resolution
-from seamline.operators import blocks, byte_diff, evidence, intervals, recurrence, spectra, stores
+from seamline.operators import blocks, byte_diff, evidence, intervals, landmarks, recurrence, spectra, stores
+from seamline.sources import frames, synthetic
+from seamline.streaming import candidates
 
 #: Milliseconds within which signals meet, and the length of an interval.
 NEAR, SPAN = 30 * 60 * 1000, 10 * 60 * 1000
 #: Prior confidence by source, in the order of sources.
 PRIORS = {"view": 0.3, "click": 0.4, "signup": 0.65, "purchase": 0.85, "error": 0.9}
-MOST, SAMPLE, BLOCK, LEAST_RUN = 64, 32, 64, 3
+MOST, SAMPLE, BLOCK, LEAST_RUN, LEAST_TAIL = 64, 32, 64, 3, 30 * 60 * 1000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,10 +75,15 @@ def _agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "event_type", "t", "event_id", F.round("confidence", 6).alias("confidence"))
 
 
-@_query(f"WITH RECURSIVE {_KEPT} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, t, {_ORDER}) AS rank FROM agreed) WHERE rank <= {MOST}")
+@_query(f"""WITH RECURSIVE {_KEPT}, seen AS (SELECT user_id, event_type, min(event_id) AS seen FROM e GROUP BY 1, 2),
+r AS (SELECT agreed.*, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, t, seen) AS rank FROM agreed JOIN seen USING (user_id, event_type))
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, {_ORDER}) AS place FROM r WHERE rank <= {MOST}""")
 def fusion_flagship(spark, sf_dir):
-    order = [F.col("confidence").desc(), F.col("t"), _order_of_source()]
-    return evidence.strongest(_agreed(spark, sf_dir), ["user_id"], order, MOST)
+    """Equal confidences and times go by the source seen first; ``place`` is the order of output."""
+    seen = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("event_id").alias("seen"))
+    best = evidence.strongest(_agreed(spark, sf_dir).join(seen, ["user_id", "event_type"]), ["user_id"], [F.col("confidence").desc(), F.col("t"), F.col("seen")], MOST)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("t", _order_of_source()))
+    return best.select("user_id", "event_type", "t", "event_id", "confidence", "rank", place.alias("place"))
 
 
 @_query(f"WITH RECURSIVE {_KEPT} SELECT user_id, event_type, t, event_id FROM kept")
@@ -138,10 +147,47 @@ def prefix_timeline(spark, sf_dir):
 
 
 @_query(f"""WITH {_EV}, o AS (SELECT *, CASE WHEN event_type = 'signup' AND row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) > 1 THEN 1 ELSE 0 END AS opens FROM e),
-g AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM o)
-SELECT user_id, segment, min(t) AS start, max(t) AS stop, count(*) AS n FROM g GROUP BY user_id, segment""")
+g AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM o),
+s AS (SELECT user_id, segment, min(t) AS start, max(t) AS stop, count(*) AS n FROM g GROUP BY user_id, segment),
+l AS (SELECT *, segment = max(segment) OVER (PARTITION BY user_id) AND segment > 0 AND stop - start < {LEAST_TAIL} AS short FROM s)
+SELECT user_id, CASE WHEN short THEN segment - 1 ELSE segment END AS segment, min(start) AS start, max(stop) AS stop, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1, 2""")
 def segment_scan(spark, sf_dir):
-    return intervals.segments(_events(spark, sf_dir), ["user_id"], "t", "event_id", F.col("event_type") == "signup")
+    found = intervals.segments(_events(spark, sf_dir), ["user_id"], "t", "event_id", F.col("event_type") == "signup")
+    return intervals.merged_tail(found, ["user_id"], LEAST_TAIL)
+
+
+_FRAMES = """f AS (SELECT l_orderkey, 10 * CAST(sum(l_quantity) OVER w AS BIGINT) AS until, CAST(sum(round(l_extendedprice)) OVER w AS BIGINT) AS end_byte, CAST(round(l_extendedprice) AS BIGINT) AS size
+ FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING))"""
+
+
+@_query(f"""WITH {_FRAMES}, j AS (SELECT l_orderkey, until, end_byte - size AS start_byte, end_byte, (l_orderkey % 7) * 100 AS since, (l_orderkey % 7) * 100 + 300 AS till FROM f),
+g AS (SELECT l_orderkey, min(CASE WHEN since < until THEN start_byte END) AS from_byte, coalesce(min(CASE WHEN till <= until THEN end_byte END), max(end_byte)) AS last FROM j GROUP BY 1)
+SELECT l_orderkey, from_byte, CASE WHEN from_byte IS NOT NULL THEN last END AS to_byte FROM g""")
+def interval_lookup(spark, sf_dir):
+    """The lines of an order as frames: milliseconds by quantity, bytes by price."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    size, lines = F.round("l_extendedprice").cast("long"), _table(spark, sf_dir, "lineitem")
+    frames = lines.select("l_orderkey", (10 * F.sum("l_quantity").over(w).cast("long")).alias("until"), F.sum(size).over(w).alias("end_byte"), size.alias("size"))
+    frames = frames.select("l_orderkey", "until", (F.col("end_byte") - F.col("size")).alias("start_byte"), "end_byte")
+    since = (F.col("l_orderkey") % 7) * 100
+    requests = lines.select("l_orderkey").distinct().select("l_orderkey", since.alias("since"), (since + 300).alias("till"))
+    return intervals.frame_ranges(frames, requests, ["l_orderkey"])
+
+
+@_query()
+def overlap_suppression(spark, sf_dir):
+    """Events as spans of their user, the stronger value first."""
+    spans = _events(spark, sf_dir).where("value is not null").select("user_id", "event_id", F.col("t").alias("start"), (F.col("t") + SPAN).alias("stop"), "value")
+    return landmarks.keep_apart(spans, ["user_id"], "start", "stop", "value")
+
+
+@_query(f"WITH RECURSIVE {_KEPT} SELECT concat(user_id, ' ', event_type) AS key, t FROM kept")
+def stream_candidates(spark, sf_dir):
+    """keep_first_merge as a file stream that ends where its files do."""
+    rows = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.[p]arquet")  # a pattern, as a stream takes a folder or a pattern, not a file
+    rows = rows.select(F.concat_ws(" ", F.col("user_id").cast("string"), "event_type").alias("key"), F.expr(_MILLIS).alias("t"))
+    folder = f"{candidates.shared_folder(spark)}/candidates-{uuid.uuid4().hex}"
+    return candidates.drained(candidates.keep_first_stream(rows, "key", "t", NEAR), folder)
 
 
 # ---- blocks
@@ -187,12 +233,26 @@ def longest_verified_run(spark, sf_dir):
     return blocks.longest_verified_run(*_sides(spark, sf_dir), "doc_id", LEAST_RUN)
 
 
-@_query()
+#: A text with a stretch of its own set before it: bytes of the stretch, and of a block. The stretch is found if a whole
+#: block of the primary lies behind it. (Set in further back, repeated lines could align with an earlier one.)
+_STRETCH, _DIFF_BLOCK = 100, 32
+
+
+@_query(f"""WITH d AS (SELECT doc_id AS id, strlen(coalesce(text, '')) + {_STRETCH} AS total FROM documents),
+r AS (SELECT *, CASE WHEN total >= (({_STRETCH} + {_DIFF_BLOCK} - 1) // {_DIFF_BLOCK} + 1) * {_DIFF_BLOCK} THEN {_STRETCH} ELSE total END AS removed FROM d)
+SELECT id, CASE WHEN total - removed < 0.5 * total THEN 'no agreement' WHEN removed > 0.25 * total THEN 'too much' ELSE 'cut' END AS verdict, 1::BIGINT AS cuts, removed, total - removed AS kept_bytes FROM r""")
 def byte_diff_cuts(spark, sf_dir):
-    """Each even document against the odd one after it, as bytes."""
-    docs = _table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("id"), (F.col("doc_id") % 2).alias("side"), F.encode("text", "UTF-8").alias("content"))
-    sides = docs.where("side = 0").select("id", F.col("content").alias("primary")).join(docs.where("side = 1").select("id", F.col("content").alias("reference")), "id", "left")
-    return byte_diff.diff_pairs(sides, block=32)
+    """Each text with a stretch of bytes set before it, against itself."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("reference"))
+    return byte_diff.diff_pairs(docs.select("id", F.concat(F.lit(b"\x01" * _STRETCH), "reference").alias("primary"), "reference"), block=_DIFF_BLOCK)
+
+
+@_query("""SELECT doc_id, sha256(concat(substr(text, 1, length(text) // 4), substr(text, length(text) // 2 + 1))) AS digest FROM documents WHERE text IS NOT NULL""")
+def binary_splice(spark, sf_dir):
+    """The second quarter of every text cut out."""
+    docs = _table(spark, sf_dir, "documents").where("text is not null").withColumn("n", F.char_length("text"))
+    cuts = F.array(F.struct(F.floor(F.col("n") / 4).cast("int").alias("start"), F.floor(F.col("n") / 2).cast("int").alias("stop")))
+    return docs.select("doc_id", F.sha2(blocks.without_cuts("text", cuts), 256).alias("digest"))
 
 
 @_query()
@@ -210,7 +270,10 @@ _PEAKS = """f AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION
 v AS (SELECT label, vec_id, n, total, i, embedding[i + 1] AS x, list_max(embedding[5:]) - 1::FLOAT AS low FROM (SELECT *, unnest(range(64)) AS i FROM f)),
 o AS (SELECT a.label, a.vec_id, a.i, a.x FROM v a JOIN v b ON b.label = a.label AND b.n BETWEEN a.n - 2 AND a.n + 2 AND b.i BETWEEN a.i - 3 AND a.i + 3 AND (b.n <> a.n OR b.i <> a.i)
  WHERE a.i >= 4 AND a.x >= a.low AND a.n > 2 AND a.n <= a.total - 2 GROUP BY a.label, a.vec_id, a.i, a.x HAVING a.x > max(b.x)),
-peaks AS (SELECT label, vec_id, i AS bin FROM (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY x DESC, i) AS r FROM o) WHERE r <= 4)"""
+l AS (SELECT label, vec_id, list({'x': x, 'i': i} ORDER BY i) AS c FROM o GROUP BY label, vec_id),
+k AS (SELECT label, vec_id, list_reduce(list_transform(c[5:], lambda q: [q]), lambda h, q: CASE WHEN q[1].x > list_min(list_transform(h, lambda z: z.x))
+ THEN list_transform(h, lambda z, n: CASE WHEN n = list_position(list_transform(h, lambda y: y.x), list_min(list_transform(h, lambda y: y.x))) THEN q[1] ELSE z END) ELSE h END, c[1:4]) AS c FROM l),
+peaks AS (SELECT label, vec_id, unnest(c).i AS bin FROM k)"""
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +292,53 @@ def landmark_pairs(spark, sf_dir):
     return spectra.landmark_pairs(_peaks(spark, sf_dir), "label", "vec_id", 63, 6)
 
 
+_HEARD = f"""{_PEAKS}, place AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame FROM embeddings),
+h AS (SELECT p.label AS id, place.frame, p.bin AS hash FROM peaks p JOIN place USING (label, vec_id))"""
+#: Votes and frames that an offset needs on these small tables.
+_VOTES, _FRAMES_LONG = 4, 10
+
+
+def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    numbers = _table(spark, sf_dir, "embeddings").select("label", "vec_id", place.alias("frame"))
+    return _peaks(spark, sf_dir).join(numbers, ["label", "vec_id"]).select(F.col("label").alias("id"), "frame", F.col("bin").alias("hash"))
+
+
+@_query(f"""WITH {_HEARD}, u AS (SELECT a.id, b.id AS known_id, a.frame - b.frame AS "offset", count(*) AS n, min(a.frame) AS first, max(a.frame) AS last FROM h a JOIN h b USING (hash) GROUP BY ALL),
+s AS (SELECT id, known_id, "offset", n, CAST(sum(n) OVER w AS BIGINT) AS votes, max(n) OVER w AS most, min(first) OVER w AS from_frame, max(last) OVER w AS to_frame FROM u
+ WINDOW w AS (PARTITION BY id, known_id ORDER BY "offset" RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+SELECT id, known_id, "offset", votes, from_frame, to_frame FROM s WHERE votes >= {_VOTES} AND n = most AND to_frame - from_frame >= {_FRAMES_LONG}""")
+def offset_votes(spark, sf_dir):
+    """Every label's peaks as a clip against every other's; a peak's bin is its hash."""
+    heard = _heard(spark, sf_dir)
+    return landmarks.match_landmarks(heard, heard, _VOTES, _FRAMES_LONG * landmarks.HOP / landmarks.HERTZ)
+
+
+@_query(f"""WITH {_HEARD}, c AS (SELECT id, count(*) AS landmarks, count(DISTINCT hash) AS hashes, (max(frame) - min(frame)) * (512 / 11025::DOUBLE) AS seconds FROM h GROUP BY id)
+SELECT id, landmarks, hashes, landmarks >= 64 AND hashes >= 48 AND seconds BETWEEN 5 AND 600 AS enough FROM c""")
+def distinct_hash_floor(spark, sf_dir):
+    return landmarks.landmark_floors(_heard(spark, sf_dir))
+
+
+@_query()
+def stft_landmarks_synthetic(spark, sf_dir):
+    """Made sound: a clip, and a longer one that holds it from the twelfth second on, somewhat softer; where they match."""
+    heard = landmarks.landmark_rows(synthetic.clips(spark))
+    return landmarks.whole_matches(heard.where("id = 1"), heard.where("id = 2"))
+
+
+@_query()
+def frame_walk_synthetic(spark, sf_dir):
+    """Made frames: the segments of streams of two encodes, with and without a short tail, and of no frames."""
+    return frames.segment_scan(synthetic.streams(spark), "id", "content")
+
+
+@_query()
+def id3_chapters_synthetic(spark, sf_dir):
+    """Made chapters before and after a cut of bytes 10,000 to 40,000 and of 5 to 8 seconds."""
+    return synthetic.chapter_rows(spark, [(5000, 8000)], [(10_000, 40_000)])
+
+
 # ---- stores
 
 _STORE = "s AS (SELECT doc_id % 97 AS fp_id, quality AS provenance, doc_id AS arrival, doc_id % 2 AS incoming FROM labels WHERE quality IS NOT NULL)"
@@ -304,3 +414,18 @@ TRY_CAST(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS BIGINT) AS p
 def url_metadata(spark, sf_dir):
     part = lambda name, *key: F.try_parse_url("url", F.lit(name), *map(F.lit, key))
     return _table(spark, sf_dir, "pages").select("page_id", part("HOST").alias("host"), part("PATH").alias("path"), part("QUERY", "page").try_cast("bigint").alias("page"))
+
+
+_SOURCES = "p AS (SELECT page_id, page_id % 50 AS scope, octet_length(encode(coalesce(html, ''))) AS size FROM pages), d AS (SELECT scope, arg_min(size, page_id) + 3 AS declared, 60 + scope * 10 AS seconds FROM p GROUP BY scope), s AS (SELECT p.*, CASE WHEN scope % 3 > 0 THEN declared END AS declared, seconds FROM p JOIN d USING (scope))"
+
+
+@_query(f"""WITH {_SOURCES}, r AS (SELECT *, size * 8.0::DOUBLE / seconds AS rate, list_min(list_transform([{_RATES}], lambda x: {{'d': abs(x - size * 8.0::DOUBLE / seconds), 'r': x}})).r AS near FROM s),
+a AS (SELECT *, coalesce(declared > 0 AND abs(size - declared) <= greatest(least(declared // 200, 100000), 4096), false) AS by_size, seconds >= 60 AND rate BETWEEN near * 0.999::DOUBLE AND near * 1.015::DOUBLE AS by_rate FROM r),
+v AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY page_id) AS n FROM a WHERE by_size OR by_rate)
+SELECT scope, page_id, size, CASE WHEN NOT by_size THEN CAST(near AS INTEGER) END AS required_rate FROM v WHERE n = 1""")
+def first_valid_source(spark, sf_dir):
+    """Pages as the sources of fifty things: the first that has the size (two things in three) or rate declared."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 50).alias("scope"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
+    told = pages.groupBy("scope").agg((F.min_by("size", "page_id") + 3).alias("declared"), (60 + F.col("scope") * 10).alias("seconds"))
+    told = told.withColumn("declared", F.when(F.col("scope") % 3 > 0, F.col("declared")))
+    return resolution.first_valid(pages.join(told, "scope"), ["scope"], "page_id", "size", "declared", "seconds")

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bit rates in kilobits per second and sample rates by MPEG version.
 MPEG1_KBPS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -89,6 +91,61 @@ def chapters(data: bytes) -> Iterator[tuple[int, int, int, int]]:
             yield tuple(int.from_bytes(body[end + 1 + k : end + 5 + k], "big") for k in (0, 4, 8, 12))
 
 
+#: An offset that means none, and the greatest 32-bit number.
+NO_OFFSET = MOST_U32 = 0xFFFFFFFF
+
+
+def shifted(value: int, cuts: list[tuple[int, int]]) -> int:
+    """``value`` less the part of the cuts that lies before it."""
+    return value - sum(max(0, min(value, stop) - start) for start, stop in cuts)
+
+
+def shift_chapters(data: bytes, times: list[tuple[int, int]], places: list[tuple[int, int]]) -> bytes:
+    """``data`` with the times and offsets of its chapter frames moved by cuts in milliseconds and bytes; offsets that mean none stay."""
+    out, at = bytearray(data), 10
+    for name, flags, body in id3_frames(data):
+        end = body.find(b"\0")
+        if name == "CHAP" and flags == b"\0\0" and 0 <= end and len(body) >= end + 17:
+            for k, cuts in ((0, times), (4, times), (8, places), (12, places)):
+                start = at + 10 + end + 1 + k
+                value = int.from_bytes(data[start : start + 4], "big")
+                if k < 8 or value != NO_OFFSET:
+                    out[start : start + 4] = min(max(shifted(value, cuts), 0), MOST_U32).to_bytes(4, "big")
+        at += 10 + len(body)
+    return bytes(out)
+
+
+def first_audio_byte(data: bytes) -> int:
+    """Where the first frame begins; the length if there is none."""
+    return next((f[0] for f in frames(data)), len(data))
+
+
+#: Fixed value: a last segment of fewer seconds is no segment of its own.
+LEAST_TAIL = 2.0
+
+
+def segment_scan(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """Segments of each binary value: id, segment, start_byte, end_byte, start_seconds, seconds; none without a frame.
+
+    A segment begins with the first frame and at each encoder's first frame after it; the last begins no segment if less
+    than ``LEAST_TAIL`` seconds follow. A segment ends where the next begins, the last where the value ends.
+    """
+    w = Window.partitionBy(id_col).orderBy("frame_no")
+    opens = F.when(F.col("is_tag") & (F.col("frame_no") > 0), 1).otherwise(0)
+    before = F.coalesce(F.sum("seconds").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    marked = frame_rows(df, id_col, content_col).withColumns({"part": F.sum(opens).over(w), "before": before})
+    parts = marked.groupBy(id_col, "part").agg(F.min("offset").alias("start_byte"), F.min("before").alias("start_seconds"), F.sum("seconds").alias("seconds"))
+    whole = Window.partitionBy(id_col)
+    last = F.max("part").over(whole)
+    tail = F.max(F.when(F.col("part") == last, F.col("seconds"))).over(whole)
+    joined = F.when((last >= 1) & (tail < LEAST_TAIL) & (F.col("part") == last), F.col("part") - 1).otherwise(F.col("part"))
+    parts = parts.withColumn("segment", joined).groupBy(id_col, "segment")
+    parts = parts.agg(F.min("start_byte").alias("start_byte"), F.min("start_seconds").alias("start_seconds"), F.sum("seconds").alias("seconds"))
+    sizes = df.select(id_col, F.octet_length(content_col).cast("long").alias("size"))
+    after = F.lead("start_byte").over(Window.partitionBy(id_col).orderBy("segment"))
+    return parts.join(sizes, id_col).select(id_col, "segment", "start_byte", F.coalesce(after, "size").alias("end_byte"), "start_seconds", "seconds")
+
+
 def frame_rows(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """One row per frame of each binary value: id, frame_no, offset, length, bits_per_second, seconds, is_tag."""
     kind = df.schema[id_col].dataType.simpleString()

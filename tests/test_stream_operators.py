@@ -17,7 +17,7 @@ def plain(rows):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("events", "documents", "labels", "pages", "part", "embeddings"):
+    for t in ("events", "documents", "labels", "pages", "part", "embeddings", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
