@@ -21,6 +21,7 @@ import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seamline.llm.arrow import quoted
 from seamline.llm.storage import scratch, written
@@ -31,6 +32,8 @@ POWERS = {"source": 0.8, "lang": 0.7, "topic": 0.8}
 ROUNDS, KEEP_SHARE, CALIBRATIONS = 6, 0.8, 24
 #: Largest relative error of a margin that ends the raking; rounds in which the error must fall by a tenth, or it stalls.
 TOLERANCE, PATIENCE = 1e-8, 30
+#: SQL cannot stop at a tolerance, so it goes on for so many rounds.
+SQL_ROUNDS = 30
 
 
 def rule_topic(text: Column) -> Column:
@@ -53,32 +56,37 @@ def with_cells(df: DataFrame, text_col: str, source_col: str, lang_col: str, top
     return df.select(*[c.alias(n) for n, c in carried.items()], cell.alias("cell"))
 
 
-def margin_error(w: DataFrame, targets: dict[str, DataFrame]) -> float:
-    """The largest relative error of a margin of ``w`` against its targets; values without tokens have none."""
-    off = [w.groupBy(m).agg(F.sum("w").alias("s")).join(targets[m], m).where("target > 0").select(F.abs(F.col("s") / F.col("target") - 1).alias("off")) for m in MARGINS]
-    return off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("off")).first()[0] or 0.0
+def _sum_over(margin: str) -> Column:
+    return F.sum("w").over(Window.partitionBy(margin))
 
 
 def raked_cells(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with w, the raked share of all tokens: ``rounds`` at least, and on to ``tolerance``."""
+    """``cells`` (source, lang, topic, tokens) with w, the raked share of all tokens: ``rounds`` at least, and on to ``tolerance``.
+
+    Each cell carries the targets of its three margins, so that a round is three window sums over cells and no join.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     w = cells.withColumn("w", F.col("tokens") / F.lit(float(max(total, 1))))
-    targets = {}
     for m in MARGINS:
-        shares = w.groupBy(m).agg(F.sum("w").alias("s")).withColumn("s", F.when(F.col("s") > 0, F.pow("s", F.lit(powers[m]))).otherwise(0.0))
-        scale = shares.agg(F.sum("s")).first()[0] or 1.0
-        targets[m] = written(shares.select(m, (F.col("s") / F.lit(scale)).alias("target")), f"target-{m}")
+        share = _sum_over(m)
+        w = w.withColumn(f"t_{m}", F.when(share > 0, F.pow(share, F.lit(powers[m]))).otherwise(0.0))
+    # A margin's value counts once in the scale, in however many cells it stands.
+    once = [F.sum(F.col(f"t_{m}") / F.col(f"n_{m}")).alias(m) for m in MARGINS]
+    scale = w.withColumns({f"n_{m}": F.count(F.lit(1)).over(Window.partitionBy(m)) for m in MARGINS}).agg(*once).first()
+    w = written(w.withColumns({f"t_{m}": F.col(f"t_{m}") / F.lit(scale[m] or 1.0) for m in MARGINS}), "targets")
     errors: list[float] = []
     while len(errors) < rounds or errors[-1] > tolerance:
         if len(errors) > max(rounds, PATIENCE) and errors[-1] > 0.9 * errors[-1 - PATIENCE]:
             warnings.warn(f"raking: the targets contradict each other; margins are off by up to {errors[-1]:.3g} after {len(errors)} rounds", stacklevel=2)
             break
         for m in MARGINS:
-            step = w.groupBy(m).agg(F.sum("w").alias("s")).join(targets[m], m).select(m, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0).alias("r"))
-            w = w.join(step, m).select(*MARGINS, "tokens", (F.col("w") * F.col("r")).alias("w"))
-        w = written(w, "raked")
-        errors.append(margin_error(w, targets) if len(errors) + 1 >= rounds else float("inf"))
-    return w
+            s = _sum_over(m)
+            w = w.withColumn("w", F.col("w") * F.when(s > 0, F.col(f"t_{m}") / s).otherwise(0.0))
+        off = F.greatest(*[F.when(F.col(f"t_{m}") > 0, F.abs(_sum_over(m) / F.col(f"t_{m}") - 1)).otherwise(0.0) for m in MARGINS])
+        w = written(w.withColumn("off", off), "raked")
+        errors.append(w.agg(F.max("off")).first()[0] or 0.0)
+        w = w.drop("off")
+    return w.select(*MARGINS, "tokens", "w")
 
 
 def cell_probabilities(raked: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -153,8 +161,8 @@ def sampled(
     return _weighed(df, id_col, text_col, source_col, lang_col, topic, powers, keep_share, rounds, df.columns).where("mix.kept").select("row.*")
 
 
-def mixing_sql(powers: dict[str, float] = POWERS, keep_share: float = KEEP_SHARE, rounds: int = ROUNDS) -> str:
-    """DuckDB SQL for the registered query on ``documents``: every round written out."""
+def mixing_sql(powers: dict[str, float] = POWERS, keep_share: float = KEEP_SHARE, rounds: int = SQL_ROUNDS) -> str:
+    """DuckDB SQL for the registered query on ``documents``: ``rounds`` written out, enough for the margins to be reached."""
     parts = [
         """docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
  CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '@') THEN 'contact'
