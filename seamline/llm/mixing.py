@@ -31,9 +31,9 @@ MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.8, "lang": 0.7, "topic": 0.8}
 ROUNDS, KEEP_SHARE, CALIBRATIONS = 6, 0.8, 24
 #: Largest relative error of a margin that ends the raking; rounds in which the error must fall by a tenth, or it stalls.
-TOLERANCE, PATIENCE = 1e-8, 30
+TOLERANCE, PATIENCE = 1e-12, 30
 #: SQL cannot stop at a tolerance, so it goes on for so many rounds.
-SQL_ROUNDS = 30
+SQL_ROUNDS = 40
 
 
 def rule_topic(text: Column) -> Column:
