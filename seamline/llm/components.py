@@ -11,16 +11,18 @@ from seamline.llm.storage import written
 def component_labels(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges`` (long columns a and b); nodes have equal labels where they are connected.
 
-    In each round every node hooks on to the neighbour (or itself) that comes first in an order hashed anew, and the edges
-    are contracted; a constant share of nodes goes each time, whatever the shape. Each round's tables are written, so
-    that lineage stays short and a node with very many rows can be split in joins.
+    In each round every node hooks on to the node that comes first, in an order hashed anew, among itself, its neighbours and
+    theirs, and the edges are contracted: a star is one node after one round, and of any shape a constant share of nodes
+    goes each time. Each round's tables are written, so that lineage stays short and a node with very many rows can be
+    split in joins.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels, turn = None, 0
     while labels is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c, k=turn: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x"))
-        parents = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", rank("a"))["x"].alias("parent"))
+        firsts = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("b"), F.least("m", rank("a")).alias("m"))
+        parents = both.join(firsts, "b").groupBy("a").agg(F.min("m")["x"].alias("parent")).withColumnRenamed("a", "node")
         parents = written(parents, "parents")
         if labels is None:
             labels = parents.select("node", F.col("parent").alias("label"))
