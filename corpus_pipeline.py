@@ -22,7 +22,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
+    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay.
+
+    Links are SimHash candidates, by bit-sliced comparison, that an exact check of the shingles confirms."""
     return near_copies.one_of_each(docs)
 
 

@@ -477,6 +477,72 @@ def test_near_copies_stage_against_brute_force(spark):
     assert sorted(kept) == sorted(set(label)) and len(set(label)) < len(texts)
 
 
+def connected(n, links):
+    label = np.arange(n)
+    for a, b in links:
+        label[label == label[b]] = label[a]
+    return pd.factorize(label)[0].tolist()
+
+
+@pytest.mark.parametrize("sizes", [[1, 2, 3, 8, 9, 17, 33, 64, 65, 130, 200, 1, 4], [1], [700]])
+def test_bit_sliced_forest_of_wide_fingerprints(sizes):
+    rng = np.random.default_rng(16)
+    groups = np.repeat(np.arange(len(sizes)), sizes)
+    kinds = rng.integers(0, 1 << 62, (len(groups) // 6 + 2, 3))
+    bits = kinds[rng.integers(0, len(kinds), len(groups))]
+    for i in range(len(bits)):
+        for b in rng.integers(0, 192, rng.integers(0, 40)):
+            bits[i, b // 64] ^= np.int64(1) << np.int64(b % 64)
+    differ = np.bitwise_count((bits[:, None] ^ bits[None]).view(np.uint64)).sum(2) + np.where(groups[:, None] == groups, 0, 1000)
+    for most in (0, 3, 20, 53):
+        assert connected(len(bits), similar_texts.forest(bits, groups, most)) == connected(len(bits), np.argwhere(differ <= most))
+
+
+def test_near_copies_stage_gets_its_candidates_from_simhash(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    texts = []
+    for _ in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        texts += [" ".join("changed" if rng.random() < share else w for w in base) for share in (0, 0.01, 0.02, 0.04, 0.2)]
+    nine = "one two three four five six seven eight nine"  # five shingles, and four of them
+    texts += [nine, nine.rsplit(" ", 1)[0], "apart"]
+    fixed = similar_texts.shingle_set(texts[0])
+    mixed = lambda h, k: int(np.unpackbits(np.array([h], dtype=np.uint64).view(np.uint8))[k])
+    assert similar_texts.simhash_bits(fixed, 2).tolist() == [int(2 * sum(mixed(x, k) for x in xs) > len(fixed)) for xs in map(avalanche, [fixed] * 2, (1, 2)) for k in range(64)]
+    # Candidates are the links of the fingerprints, by comparing every two.
+    found = [similar_texts.sketch(t) for t in texts]
+    bits = np.array([f[2] for f in found]).view(np.uint64)
+    near = [set(f[4]) | {f[0]} for f in found]
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if near[i] & near[j] or (np.bitwise_count(bits[i] ^ bits[j]).sum() <= similar_texts.most_bits(0.8) and set(found[i][3]) & set(found[j][3]))]
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    marked = similar_texts.sketched(docs)
+    sets = marked.select(*[F.col(f"_{c}").alias(c) for c in ("set", "bits", "blocks", "near")]).localCheckpoint()
+    for gathered in (similar_texts.GATHERED, 3):
+        monkeypatch.setattr(similar_texts, "GATHERED", gathered)
+        links = [(r.a, r.b) for r in similar_texts.candidate_links(sets, 0.8).collect()]
+        places = {x: i for i, x in enumerate(dict.fromkeys([*(f[0] for f in found), *(x for pair in links for x in pair)]))}
+        label = connected(len(places), [(places[a], places[b]) for a, b in links])
+        assert pd.factorize(np.array([label[places[f[0]]] for f in found]))[0].tolist() == connected(len(texts), want)
+    assert max(connected(len(texts), want)) < len(texts) - 1 and set(brute_similar(texts)) <= set(want)
+    # The stage has no other source of links.
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_copies_stage(spark, docs, SMALL).collect())
+    assert kept() == np.flatnonzero(one_of_each(texts, list(range(len(texts))))).tolist()
+    whole = similar_texts.candidate_links
+    monkeypatch.setattr(similar_texts, "candidate_links", lambda *args: whole(*args).limit(0))
+    assert kept() == sorted({f[0]: i for i, f in reversed(list(enumerate(found)))}.values())
+
+
+def avalanche(shingles, k):
+    """The kth word of 64 bits that a shingle's hash is spread to (SplitMix64), in plain integers."""
+    out = []
+    for x in shingles.tolist():
+        x = (x + k * 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        out.append(x ^ x >> 31)
+    return out
+
+
 def test_one_row_of_each_group_where_ids_repeat(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     rows = [(5, a), (5, b), (2, b.upper()), (7, "alone here"), (7, "apart there"), (7, "alone here"), (None, a)]
