@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,9 +26,10 @@ def strongest_places(peaks: Column, limit: int) -> Column:
     once all are filled, a peak takes the first of the weakest ones' places, and only if it is stronger."""
 
     def take(held: Column, new: Column) -> Column:
-        weakest = F.array_min(F.transform(held, lambda h: h["strength"]))
-        at = F.array_position(F.transform(held, lambda h: h["strength"]), weakest)
-        replaced = F.transform(held, lambda h, i: F.when(i + 1 == at, new).otherwise(h))
+        # No lambda within this one: Spark does not take two plans with such for equal, and would compute both.
+        weakest = F.array_min(held["strength"])
+        at = F.array_position(held["strength"], weakest).cast("int")
+        replaced = F.concat(F.slice(held, F.lit(1), at - 1), F.array(new), F.slice(held, at + 1, F.size(held)))
         return F.when(F.size(held) < limit, F.array_append(held, new)).when(new["strength"] > weakest, replaced).otherwise(held)
 
     return F.aggregate(F.slice(peaks, limit + 1, F.greatest(F.size(peaks) - limit, F.lit(0))), F.slice(peaks, 1, limit), take)
@@ -41,17 +44,22 @@ def spectral_peaks(df: DataFrame, clip: str, frame: str, values: str, least_bin:
     """
     w = Window.partitionBy(clip).orderBy(frame)
     steps = [k for k in range(-near_frames, near_frames + 1) if k]
-    near = df.select(clip, frame, F.col(values).alias("_v"), *[F.lag(values, -k).over(w).alias(f"_n{i}") for i, k in enumerate(steps)])
-    whole = near.where(" and ".join(f"_n{i} is not null" for i in range(len(steps))))
+    # Each frame's maxima go to its neighbours; they reach beyond its end, as neighbours may be longer.
+    bins = F.sequence(F.lit(0), F.size("_v") + F.lit(near_bins - 1))
+    maxima = df.select(clip, frame, F.col(values).alias("_v")).withColumn("_m", F.when(F.col("_v").isNotNull(), F.transform(bins, lambda i: _around(F.col("_v"), i, near_bins))))
+    near = maxima.select(clip, frame, "_v", *[F.lag("_m", -k).over(w).alias(f"_n{i}") for i, k in enumerate(steps)])
+    whole = near.where("_v is not null and " + " and ".join(f"_n{i} is not null" for i in range(len(steps))))
     whole = whole.withColumn("_floor", F.array_max(F.slice("_v", least_bin + 1, F.size("_v"))) - F.lit(under_max))
 
     def is_peak(v: Column, i: Column) -> Column:
-        others = F.greatest(_beside(F.col("_v"), i, near_bins), *[_around(F.col(f"_n{k}"), i, near_bins) for k in range(len(steps))])
-        return (i >= least_bin) & (v >= F.col("_floor")) & (v > others)
-
-    marked = F.transform("_v", lambda v, i: F.when(is_peak(v, i), F.struct(v.alias("strength"), i.alias("bin"))))
-    best = strongest_places(F.array_compact(marked), limit)
-    return whole.select(clip, frame, F.explode(best).alias("_p")).select(clip, frame, F.col("_p.bin").cast("long").alias("bin"))
+        others = [*[F.get(f"_n{k}", i) for k in range(len(steps))], _beside(F.col("_v"), i, near_bins)]
+        above = reduce(Column.__and__, [F.coalesce(v > o, F.lit(True)) for o in others])
+        return (i >= least_bin) & (v >= F.col("_floor")) & above & F.coalesce(*others).isNotNull()
+
+    marked = F.array_compact(F.transform("_v", lambda v, i: F.when(is_peak(v, i), F.struct(v.alias("strength"), i.alias("bin")))))
+    whole = whole.select(clip, frame, marked.alias("_peaks"))
+    whole = whole.select(clip, frame, F.explode(strongest_places(F.col("_peaks"), limit)).alias("_p"))
+    return whole.select(clip, frame, F.col("_p.bin").cast("long").alias("bin"))
 
 
 def landmark_pairs(peaks: DataFrame, clip: str, frame: str, reach: int, fanout: int) -> DataFrame:

@@ -276,8 +276,12 @@ k AS (SELECT label, vec_id, list_reduce(list_transform(c[5:], lambda q: [q]), la
 peaks AS (SELECT label, vec_id, unnest(c).i AS bin FROM k)"""
 
 
+#: Least bin, distance under the maximum, neighbourhood in frames and bins, and peaks kept a frame.
+_PEAK_RULE = 4, 1.0, 2, 3, 4
+
+
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectra.spectral_peaks(_table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 4, 1.0, 2, 3, 4)
+    return spectra.spectral_peaks(_table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", *_PEAK_RULE)
 
 
 @_query(f"WITH {_PEAKS} SELECT label, vec_id, bin FROM peaks")
@@ -299,9 +303,11 @@ _VOTES, _FRAMES_LONG = 4, 10
 
 
 def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames are numbered before the peaks are looked for: joined with them later, no plan would take two uses of this for equal."""
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    numbers = _table(spark, sf_dir, "embeddings").select("label", "vec_id", place.alias("frame"))
-    return _peaks(spark, sf_dir).join(numbers, ["label", "vec_id"]).select(F.col("label").alias("id"), "frame", F.col("bin").alias("hash"))
+    numbered = _table(spark, sf_dir, "embeddings").where("label is not null").select("label", F.when(F.col("vec_id").isNotNull(), place).alias("frame"), "embedding")
+    heard = spectra.spectral_peaks(numbered, "label", "frame", "embedding", *_PEAK_RULE)
+    return heard.where("frame is not null").select(F.col("label").alias("id"), "frame", F.col("bin").alias("hash"))
 
 
 @_query(f"""WITH {_HEARD}, u AS (SELECT a.id, b.id AS known_id, a.frame - b.frame AS "offset", count(*) AS n, min(a.frame) AS first, max(a.frame) AS last FROM h a JOIN h b USING (hash) GROUP BY ALL),

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from seamline.operators import landmarks, recurrence
+from seamline.operators import landmarks, recurrence, spectra
 from seamline.streaming import candidates
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,79 @@ def test_match_landmarks(spark):
     assert 18.5 <= kept[0].from_frame * second <= 21.5 and 26 <= kept[0].to_frame * second <= 29.5
 
 
+def every_pair(heard, known):
+    """Offset, votes, first and last heard frame, pair by pair."""
+    found = {}
+    for a, b in zip(heard, known):
+        for x in a.tolist():
+            for offset in (x - b).tolist():
+                n, first, last = found.get(offset, (0, x, x))
+                found[offset] = n + 1, min(first, x), max(last, x)
+    return [(offset, *found[offset]) for offset in sorted(found)]
+
+
+@pytest.mark.parametrize(("few", "steps", "pairs"), [(256, 4096, 1 << 20), (2, 3, 50)])
+def test_dense_votes_against_every_pair(monkeypatch, few, steps, pairs):
+    monkeypatch.setattr(landmarks, "_FEW", few)
+    monkeypatch.setattr(landmarks, "_STEPS", steps)
+    monkeypatch.setattr(landmarks, "_PAIRS", pairs)
+    rng = np.random.default_rng(10)
+    by_transform = []
+    monkeypatch.setattr(landmarks, "earliest", lambda *a, f=landmarks.earliest: by_transform.append(1) or f(*a))
+    for _ in range(40):
+        hashes, n, m = rng.integers(1, 90), *rng.integers(1, 150, 2)
+        heard, known = [[rng.integers(0, x, rng.integers(1, 120)) + shift for _ in range(hashes)] for x, shift in ((n, -7), (m, 50))]
+        assert [tuple(map(int, r)) for r in zip(*landmarks.dense_votes(heard, known))] == every_pair(heard, known)
+    assert len(by_transform) > 20
+    # Frames that meet only at their ends, after long stretches of others.
+    heard, known = [np.arange(3000, 4000), np.arange(3000)], [np.arange(5000, 6000), np.arange(9000, 9900)]
+    assert [tuple(map(int, r)) for r in zip(*landmarks.dense_votes(heard, known))] == every_pair(heard, known)
+
+
+def test_matches_of_a_hash_in_every_frame(spark):
+    n = 200_000  # 40 billion pairs
+    rows = spark.range(n).selectExpr("1L AS id", "id AS frame", "7L AS hash")
+    assert [tuple(r) for r in landmarks.match_landmarks(rows, rows).collect()] == [(1, 1, 0, 3 * n - 2, 0, n - 1)]
+
+
+def test_offset_counts_against_a_join(spark, monkeypatch):
+    monkeypatch.setattr(landmarks, "BLOCK_BITS", 5)
+    monkeypatch.setattr(landmarks, "DENSE", 4)
+    rng = np.random.default_rng(11)
+    rows = [(int(k), int(f), int(h)) for k, f, h in zip(rng.integers(0, 3, 900), rng.integers(-70, 90, 900), rng.integers(0, 12, 900) ** 2 // 12)]
+    heard = spark.createDataFrame([*rows, (None, 5, 1), (1, None, 1), (1, 5, None)], "id long, frame int, hash long")
+    known = spark.createDataFrame([(str(k), f, h) for k, f, h in rows[::2]], "id string, frame long, hash long")
+    got = landmarks.offset_counts(heard, known)
+    pairs = heard.where("frame is not null").join(known.selectExpr("id AS known_id", "frame AS at", "hash"), "hash")
+    want = pairs.groupBy("id", "known_id", (pairs.frame - pairs["at"]).alias("offset")).agg({"*": "count", "frame": "min"}).collect()
+    last = {(r[0], r[1], r[2]): r[3] for r in pairs.groupBy("id", "known_id", (pairs.frame - pairs["at"]).alias("offset")).agg({"frame": "max"}).collect()}
+    plain = {(r["id"], r["known_id"], r["offset"]): (r["count(1)"], r["min(frame)"], last[r["id"], r["known_id"], r["offset"]]) for r in want}
+    assert {(r.id, r.known_id, r.offset): (r.n, r.first, r.last) for r in got.collect()} == plain
+    assert landmarks.match_landmarks(heard, known).schema.simpleString() == "struct<id:bigint,known_id:string,offset:bigint,votes:bigint,from_frame:int,to_frame:int>"
+
+
+def test_spectral_peaks_of_uneven_frames(spark):
+    rng = np.random.default_rng(12)
+    clips = {k: [None if rng.random() < 0.04 else [None if rng.random() < 0.03 else float(x) for x in rng.integers(0, 40, rng.integers(0, 24)) / 8] for _ in range(60)] for k in range(3)}
+    clips[3] = [[], [], [1.0], [], []]
+    df = spark.createDataFrame([(k, f, v) for k, frames in clips.items() for f, v in enumerate(frames)], "k long, f long, v array<float>")
+    want = []
+    for k, frames in clips.items():
+        for f in range(2, len(frames) - 2):
+            near = frames[f - 2 : f + 3]
+            if any(v is None for v in near):
+                continue
+            heard = [x for x in near[2][2:] if x is not None]
+            found = []
+            for i, x in enumerate(near[2]):
+                around = [y for n, v in enumerate(near) for j, y in enumerate(v) if abs(i - j) <= 3 and (n, j) != (2, i) and y is not None]
+                if i >= 2 and x is not None and x >= max(heard) - 3 and around and x > max(around):
+                    found.append((x, i))
+            places = landmarks.strongest_places([x for x, _ in found]) if found else []
+            want += [(k, f, found[p][1]) for p in places]
+    assert len(want) > 20 and sorted(tuple(r) for r in spectra.spectral_peaks(df, "k", "f", "v", 2, 3.0, 2, 3, 4).collect()) == sorted(want)
+
+
 def test_keep_apart(spark):
     rows = [(1, 0, 10, 5), (1, 5, 15, 7), (1, 14, 20, 6), (1, 15, 18, 1), (1, 30, 31, 1), (2, 0, 1, 1)]
     df = spark.createDataFrame(rows, "k long, a long, b long, s long")
